@@ -20,7 +20,7 @@ import numpy as np
 
 CACHED_PIECES = 500_000  # once a worker's cache holds more, it keeps the pieces met more than once of late
 ODD_SPACE = re.compile(r"[^\S \n]")
-MARK = ""  # separates pieces in one call where the tokenizer drops white space
+MARK = "\uf8ff"  # separates pieces in one call where the tokenizer drops white space
 
 
 class Slots(dict):
