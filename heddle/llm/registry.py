@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from heddle.llm import exact_topk, mixing, packing, pii, sharding, simhash, token_files, toxicity
+from heddle.llm import ann, exact_topk, mixing, packing, pii, sharding, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_nearest_neighbours": ann.op1_nearest_neighbours,
     "op2_exact_topk": exact_topk.op2_exact_topk,
     "op3_pii": pii.op3_pii,
     "op5_stratified_shards": sharding.op5_stratified_shards,

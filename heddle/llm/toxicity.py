@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.session import cut
 
@@ -307,22 +308,20 @@ class Scorer:
         return 1.0 - clean
 
 
-def scores(docs: DataFrame, weights: dict[str, float], counts: np.ndarray, carry: bool = False) -> DataFrame:
-    """doc_id and score of each document; with ``carry`` all columns and ``_toxicity``."""
+def scores(docs: DataFrame, weights: dict[str, float], counts: np.ndarray, carry: str | None = None) -> DataFrame:
+    """doc_id and score of each document; with ``carry`` all its columns and the score under that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, Restorer(CharModel(counts)))
         for batch in batches:
             found = pa.array([scorer.score(t.as_py()) for t in batch.column("text")], pa.float64())
             if carry:
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_toxicity"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, carry])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "score"])
 
     if carry:
-        from pyspark.sql import types as T
-
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_toxicity", T.DoubleType())]))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(carry, T.DoubleType())]))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
