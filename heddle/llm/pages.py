@@ -280,7 +280,7 @@ parts AS (
   SELECT page_id, url, list_transform(string_split_regex(body, '</?(p|h1)>'), lambda x: trim(regexp_replace(
     replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS found
   FROM articles)
-SELECT page_id, url, text, length(text) AS n_chars, CAST(0 AS BIGINT) AS n_boilerplate
+SELECT page_id, url, text, length(text) AS n_chars
 FROM (SELECT page_id, url, array_to_string(list_filter(found, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM parts)
 """
 
@@ -288,4 +288,4 @@ FROM (SELECT page_id, url, array_to_string(list_filter(found, lambda x: x <> '')
 def op4_page_text(spark, sf_dir):
     from heddle.sources.tables import load
 
-    return extract(load(spark, sf_dir, "pages"))
+    return extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
