@@ -289,14 +289,15 @@ def roaring_containers(spark, sf_dir):
 
 
 WAH = """
-WITH grouped AS (SELECT v // 31 AS grp, bit_or(CAST(1 AS BIGINT) << CAST(v % 31 AS INTEGER)) AS word FROM (SELECT DISTINCT l_partkey * 3 + l_suppkey % 3 AS v FROM lineitem) GROUP BY 1),
+WITH grouped AS (SELECT v // 31 AS grp, bit_or(CAST(1 AS BIGINT) << CAST(v % 31 AS INTEGER)) AS word FROM (SELECT CAST(floor(o_totalprice / 10) AS BIGINT) AS v FROM orders UNION SELECT p_partkey + 100000 FROM part) GROUP BY 1),
 marked AS (SELECT *, CASE WHEN word = 2147483647 THEN 'fill1' ELSE 'literal' END AS kind, coalesce(lag(grp) OVER (ORDER BY grp) + 1, 0) AS before FROM grouped),
 ones AS (SELECT grp, grp - row_number() OVER (ORDER BY grp) AS island FROM marked WHERE kind = 'fill1')
 """
 
 
 def _runs(spark, sf_dir):
-    values = load(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 3 + F.col("l_suppkey") % 3).alias("x"))
+    """Order totals in tens, and part keys above them: gaps, literals and dense stretches."""
+    values = load(spark, sf_dir, "orders").select(F.floor(F.col("o_totalprice") / 10).alias("x")).union(load(spark, sf_dir, "part").select(F.col("p_partkey") + 100000))
     return bitmaps.runs(bitmaps.groups(values, "x"))
 
 
@@ -307,7 +308,7 @@ def wah_rle_runs(spark, sf_dir):
     return _runs(spark, sf_dir)
 
 
-@query("wah_rle_roundtrip", "SELECT DISTINCT l_partkey * 3 + l_suppkey % 3 AS x FROM lineitem")
+@query("wah_rle_roundtrip", "SELECT CAST(floor(o_totalprice / 10) AS BIGINT) AS x FROM orders UNION SELECT p_partkey + 100000 FROM part")
 def wah_rle_roundtrip(spark, sf_dir):
     return bitmaps.decode(_runs(spark, sf_dir))
 
