@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import shared_dir
+
 LONG, SHARE, COVERED, CHUNK = 8, 0.1, 0.9, 512
 
 TAG = re.compile(
@@ -246,7 +249,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to page_id, url, text, n_chars, n_boilerplate."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    hosts = pages.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).select(F.col("host").alias("h_host"), "chunks")
+    spark = pages.sparkSession
+    sizes = pages.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1").select(F.col("host").alias("h_host"), "chunks")
+    folder = f"{shared_dir(spark).rstrip('/')}/hosts-{uuid.uuid4().hex}"
+    sizes.write.parquet(folder)  # as a table its size is known, so Spark broadcasts it only below its threshold
+    hosts = spark.read.parquet(folder)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +265,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), places, texts], names=["page_id", "url", "host", "places", "texts"])
 
     parsed = pages.mapInArrow(parse, "page_id long, url string, host string, places array<tinyint>, texts array<string>")
-    dealt = parsed.join(hosts, F.col("host") == F.col("h_host")).withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")))
+    chunk = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("chunks", F.lit(1)))
+    # One column, so that a shuffle by host alone never passes for this one.
+    dealt = parsed.join(hosts, F.col("host") == F.col("h_host"), "left").withColumn("chunk", F.concat_ws("#", chunk.cast("string"), "host"))
 
     def finish(chunk: pa.Table) -> pa.Table:
         pages = [list(zip(p, t)) for p, t in zip(chunk["places"].to_pylist(), chunk["texts"].to_pylist())]
@@ -269,7 +278,7 @@ def extract(pages: DataFrame) -> DataFrame:
             names=["page_id", "url", "text", "n_chars", "n_boilerplate"],
         )
 
-    return dealt.select("page_id", "url", "host", "chunk", "places", "texts").groupBy("host", "chunk").applyInArrow(finish, "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    return dealt.select("page_id", "url", "chunk", "places", "texts").groupBy("chunk").applyInArrow(finish, "page_id long, url string, text string, n_chars long, n_boilerplate long")
 
 
 # The tables' pages have one structure, which SQL can follow: an article of h1 and p elements.
