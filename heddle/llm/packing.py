@@ -84,13 +84,10 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = tokens.cache(path)
         for batch in batches:
-            ids_of = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 2000):
-                ids, lens = cache.encode([t or "" for t in texts[lo : lo + 2000]], end)
+            for lo, hi, ids, lens in cache.encode_column(batch.column("text"), end):
                 out: list[list] = [[], [], [], [], []]
                 at = 0
-                for doc, n in zip(ids_of[lo : lo + 2000], lens.tolist()):
+                for doc, n in zip(batch.column("doc_id").slice(lo, hi - lo).to_pylist(), lens.tolist()):
                     for k, (s, length) in enumerate(cut_points(n, capacity)):
                         out[0].append(doc)
                         out[1].append(k)

@@ -40,7 +40,7 @@ from heddle.llm import tokens
 from heddle.session import cut, shared_dir
 
 MAGIC = b"HTOKENS1"
-SAMPLE, DICTIONARY_BYTES, LEVEL, SHARD_DOCS = 1000, 65536, 3, 65536
+SAMPLE, DICTIONARY_BYTES, LEVEL, SHARD_DOCS = 1000, 65536, 3, 16384
 HEAD = len(MAGIC) + 32 + 1
 
 
@@ -136,9 +136,9 @@ class ShardReader:
 def sample_dictionary(docs: DataFrame, path: str, end: int, kind: str) -> bytes:
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lens = tokens.cache(path).encode([t or "" for t in batch.column("text").to_pylist()], end)
-            ends = np.cumsum(lens)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[b - n : b].astype(kind).tobytes() for b, n in zip(ends, lens)], pa.binary())], names=["ids"])
+            for _, _, ids, lens in tokens.cache(path).encode_column(batch.column("text"), end):
+                ends = np.cumsum(lens)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[b - n : b].astype(kind).tobytes() for b, n in zip(ends, lens)], pa.binary())], names=["ids"])
 
     chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     return train([r.ids for r in chosen.mapInArrow(serialized, "ids binary").collect()])
@@ -159,14 +159,11 @@ def write(docs: DataFrame, folder: str, path: str, end: int) -> list[tuple[str,
         data = codec_dictionary(dictionary)
         codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=True)
         for batch in batches:
-            doc_ids = batch.column("doc_id")
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 2000):
-                ids, lens = cache.encode([t or "" for t in texts[lo : lo + 2000]], end)
+            for lo, hi, ids, lens in cache.encode_column(batch.column("text"), end):
                 ends = np.cumsum(lens)
                 narrow = ids.astype(kind)
                 frames = [codec.compress(narrow[b - n : b].tobytes()) for b, n in zip(ends.tolist(), lens.tolist())]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, 2000), pa.array(frames, pa.binary()), pa.array(lens)], names=["doc_id", "frame", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(frames, pa.binary()), pa.array(lens)], names=["doc_id", "frame", "n"])
 
     def store_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard = TaskContext.get().partitionId(), None
