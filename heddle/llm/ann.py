@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.batches import smallest_by_hash
 from heddle.llm.exact_topk import matrix, merge, usable
 
 TREES, SAMPLE, LEAF, FRACTION, LEAST = 8, 16384, 64, 0.65, 4096
@@ -154,7 +155,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, fraction: float = FRACT
     n_queries = queries.count()
     forest = None
     if n > least:
-        sample = rows.groupBy("vec").agg(F.min(F.xxhash64("id")).alias("h")).orderBy("h").select("vec").limit(SAMPLE).toArrow()["vec"]
+        sample = smallest_by_hash(rows.select("vec").distinct(), ["vec"], SAMPLE, n).toArrow()["vec"]
         lifted = lift(padded(matrix(sample).astype(np.float64), width), longest)
         depth = max(1, int(np.log2(max(2, min(n / LEAF, len(lifted) / 8)))))
         forest = Forest(lifted, depth)

@@ -54,8 +54,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style textarea title xmp".split())
 UNSEEN = frozenset("head script style noscript template iframe object embed svg math canvas audio video textarea title xmp datalist".split())
 STRONG = frozenset("nav footer aside form menu dialog button select fieldset".split())
-STRONG_NAMES = frozenset("comment comments commentlist disqus ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr newsletter subscribe signup".split())
-WEAK_NAMES = frozenset("sidebar header footer masthead banner notice notices alert popup modal overlay promo promotion related recommended recommendations share sharing social widget pagination pager toolbar teaser teasers copyright login search skip".split())
+STRONG_NAMES = frozenset("comment comments commentlist replies responses discussion disqus ad ads adsbygoogle adslot advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr newsletter subscribe signup".split())
+WEAK_NAMES = frozenset("sidebar header footer masthead banner notice notices alert popup modal overlay promo promotion related recommended recommendations share sharing social widget pagination pager toolbar teaser teasers copyright login search skip paywall disclaimer toc".split())
 MAIN_NAMES = frozenset("article articlebody post entry story content main".split())
 STRONG_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddle.llm.batches import text_parts
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -236,10 +238,10 @@ def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to counts and digests of plain spans, and all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in text_parts(batches):
             out: list[list] = [[] for _ in range(7)]
-            for value in batch.column("text"):
-                base, more = find(value.as_py())
+            for text in texts:
+                base, more = find(text)
                 for k, kind in enumerate(KINDS):
                     out[k].append(sum(s[0] == kind for s in base))
                 out[4].append(hashlib.sha256(listed(base).encode()).hexdigest())
@@ -257,10 +259,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, found in text_parts(batches):
             texts = []
-            for value in batch.column("text"):
-                text = value.as_py()
+            for text in found:
                 spans = [s for part in find(text) for s in part]
                 texts.append(redact(text, spans) if spans else text)
             columns = dict(zip(batch.schema.names, batch.columns))

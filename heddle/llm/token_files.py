@@ -8,7 +8,7 @@ reader gets at a short document with the index and one frame, and refuses a shar
 with another dictionary.
 
 The dictionary is trained on the serialized ids of at most ``SAMPLE`` documents, those with the
-smallest hash of their id; too few to train on serve as a raw dictionary instead.
+smallest hash of id and text; too few to train on serve as a raw dictionary instead.
 
 Scale: documents are tokenized and compressed before the shuffle, so only frames
 move; they are dealt by ranges of doc_id and each task streams one shard, written under a
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import tokens
+from heddle.llm.batches import smallest_by_hash
 from heddle.session import cut, shared_dir
 
 MAGIC = b"HTOKENS1"
@@ -140,7 +141,7 @@ def sample_dictionary(docs: DataFrame, path: str, end: int, kind: str) -> bytes:
                 ends = np.cumsum(lens)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[b - n : b].astype(kind).tobytes() for b, n in zip(ends, lens)], pa.binary())], names=["ids"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = smallest_by_hash(docs, ["doc_id", "text"], SAMPLE, docs.count())
     return train([r.ids for r in chosen.mapInArrow(serialized, "ids binary").collect()])
 
 

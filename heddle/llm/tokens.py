@@ -21,7 +21,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+
+from heddle.llm.batches import parts
 
 CACHED_PIECES = 600_000  # once a worker's cache holds more, it keeps the pieces met more than once of late
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 1000  # texts worked on at a time
@@ -217,16 +218,8 @@ class PieceCache:
 
     def encode_column(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """encode() over a column in bounded chunks: (first row, row after the last, ids, counts); null counts as empty."""
-        if not len(texts):
-            return
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        ends = np.cumsum(sizes)
-        lo = 0
-        while lo < len(texts):
-            reach = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_CHARS, side="right"))
-            hi = min(max(lo + 1, reach), lo + CHUNK_TEXTS, len(texts))
+        for lo, hi in parts(texts, CHUNK_CHARS, CHUNK_TEXTS):
             yield lo, hi, *self.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], end)
-            lo = hi
 
 
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

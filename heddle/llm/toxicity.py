@@ -12,8 +12,8 @@ alphabet.  The classifier scores the words of restored text: features are words
 word beginnings, and the weight of a feature is how often documents that hold it are toxic.
 Its training rows are a bounded sample, at most ``TRAIN_ROWS`` labelled documents with the smallest hash
 of their id; near copies among them (equal least shingle hash) count once.  Features
-whose precision has a lower bound under ``SURE`` are left out, so common words and
-names from one story do not matter.  A score is the noisy or of the features found.
+whose precision is under ``PURE`` or has a lower bound under ``SURE`` are left out, so common words,
+beginnings that clean words share and names from one story do not matter.  A score is the noisy or of the features found.
 
 Scale: counting, training counts and scoring are map-only passes with small
 combined tables between; the model is at most ``FEATURES`` features and the
@@ -39,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddle.llm.batches import smallest_by_hash, text_parts
 from heddle.session import cut
 
 TRAIN_ROWS, FEATURES = 20_000, 20_000
-SURE, LEAST_DOCS, Z, BASE = 0.75, 8, 1.64, 0.02
+PURE, SURE, LEAST_DOCS, Z, BASE = 0.95, 0.75, 8, 1.64, 0.02
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
@@ -119,8 +120,8 @@ def count_characters(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = code_table(), np.zeros(SIZE**3, dtype=np.int64)
-        for batch in batches:
-            total += trigram_counts(batch.column("text").to_pylist(), table)
+        for _, texts in text_parts(batches):
+            total += trigram_counts(texts, table)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -190,7 +191,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 class Restorer:
     """Finds disguised tokens of a text and decodes them; readings are cached up to a bound."""
 
-    def __init__(self, model: CharModel, cached: int = 200_000):
+    def __init__(self, model: CharModel, cached: int = 100_000):
         self.model, self.cached, self.seen = model, cached, {}
 
     def reading(self, token: str) -> str:
@@ -250,13 +251,13 @@ def story(text: str | None) -> int:
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, float]:
     """Feature -> precision, from the bounded sample of labelled training rows."""
     labelled = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
-    chosen = labelled.filter("crc32(cast(doc_id AS string)) % 3 <> 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    chosen = chosen.select(F.col("doc_id").alias("l_id"), "toxic")
+    labelled = labelled.filter("crc32(cast(doc_id AS string)) % 3 <> 1").select("doc_id", "toxic")
+    chosen = smallest_by_hash(labelled, ["doc_id"], TRAIN_ROWS, labels.count()).select(F.col("doc_id").alias("l_id"), "toxic")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # at most TRAIN_ROWS rows
 
     def stories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.array([story(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
+        for batch, texts in text_parts(batches):
+            keys = np.array([story(t) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys)], names=["doc_id", "story"])
 
     firsts = rows.select("doc_id", "text").mapInArrow(stories, "doc_id long, story long").groupBy("story").agg(F.min("doc_id").alias("f_id"))
@@ -267,8 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, f
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             restorer, found = Restorer(CharModel(counts)), Counter()
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
+            for _, texts in text_parts(batches):
+                for text in texts:
                     here = features_of(words_of(text, restorer))
                     found.update(here if wanted is None else here & wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
@@ -281,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, f
     often = counted(rows.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_DOCS).orderBy(F.col("n").desc(), "feature").limit(FEATURES)
     toxic = {r["feature"]: r["n"] for r in often.collect()}
     every = {r["feature"]: r["n"] for r in counted(rows, set(toxic)).collect()} if toxic else {}
-    return {f: (t + 0.5) / (every[f] + 1) for f, t in toxic.items() if lower_bound(t, every[f]) >= SURE}
+    return {f: (t + 0.5) / (every[f] + 1) for f, t in toxic.items() if t >= PURE * every[f] and lower_bound(t, every[f]) >= SURE}
 
 
 def lower_bound(hits: int, n: int) -> float:
@@ -313,8 +314,8 @@ def scores(docs: DataFrame, weights: dict[str, float], counts: np.ndarray, carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, Restorer(CharModel(counts)))
-        for batch in batches:
-            found = pa.array([scorer.score(t.as_py()) for t in batch.column("text")], pa.float64())
+        for batch, texts in text_parts(batches):
+            found = pa.array([scorer.score(t) for t in texts], pa.float64())
             if carry:
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, carry])
             else:

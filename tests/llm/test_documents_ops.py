@@ -153,13 +153,41 @@ def test_simhash_links_lose_nothing_when_split(spark, cell):
     fps = {int(c) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for c in centres for _ in range(60)} | {int(x) for x in rng.integers(0, 2**63, 100)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    pairs = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2, cell)
+    pairs = simhash.links(spark.createDataFrame([(0, f, f) for f in signed], "tab int, fp long, node long"), 2, cell)
     roots = {r["node"]: r["root"] for r in simhash.components(pairs).collect()}
     mine = [roots.get(f, f) for f in signed]
     want = brute_components(list(range(len(fps))), fps)
     assert len({*zip(mine, want)}) == len(set(mine)) == len(set(want))
 
 
+def test_representatives_of_near_copies(spark):
+    """Components over several fingerprint tables against brute force."""
+    rng = np.random.default_rng(8)
+    base = [rng.choice([f"w{k}" for k in range(400)], 150).tolist() for _ in range(25)]
+    texts = [" ".join(b) for b in base]
+    for b in base[:15]:
+        for _ in range(3):
+            copy = list(b)
+            for k in rng.integers(0, 150, 2):
+                copy[k] = "other"
+            texts.append(" ".join(copy))
+    texts += texts[:2] + ["", None]
+    ids = rng.permutation(len(texts)).tolist()
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    tables = [simhash.fingerprint_tables(t, 3, 12) for t in texts]
+    assert all(int(f[0]) == brute_fingerprint(t) for f, t in zip(tables, texts))
+    near = lambda i, j: bool((np.bitwise_count(tables[i] ^ tables[j]) <= 3).any())
+    parent = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if near(i, j):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    want = {min(i for i, p in zip(ids, parent) if p == root) for root in parent}
+    assert {r["doc_id"] for r in simhash.representatives(docs).collect()} == want
+    assert len(want) <= 30
+
+
 # op7, op8
 
 
