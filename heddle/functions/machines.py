@@ -44,9 +44,9 @@ def memory_of(program: bytes, inputs: list[np.ndarray], at: int = DATA, size: in
     """Inputs go to cells 1, 2, ..; two spare cells stand behind the 256 for operands that hang over."""
     rows = len(inputs[0])
     memory = np.zeros((rows, size), dtype=np.int64)
-    memory[:, at : at + len(program)] = np.frombuffer(program, dtype=np.uint8)
     for k, column in enumerate(inputs, 1):
         memory[:, k] = np.asarray(column, dtype=np.int64) & 255
+    memory[:, at : at + len(program)] = np.frombuffer(program, dtype=np.uint8)
     return memory
 
 
@@ -185,3 +185,18 @@ def machine_column(program: bytes, run: Callable[[np.ndarray], np.ndarray]):
         return pd.Series(run(memory_of(program, [x.to_numpy(), y.to_numpy()])).astype("int32"))
 
     return answer
+
+
+def word_column(program: bytes, inputs: tuple[int, ...], output: int):
+    """A column function: arguments go as 16-bit words to the cells ``inputs``, the answer comes from ``output``."""
+
+    @F.pandas_udf(T.IntegerType())
+    def answer(*columns: pd.Series) -> pd.Series:
+        memory = memory_of(program, [np.zeros(len(columns[0]), dtype=np.int64)], at=0)
+        for at, column in zip(inputs, columns):
+            values = column.to_numpy(dtype=np.int64)
+            memory[:, at], memory[:, at + 1] = values & 255, values >> 8 & 255
+        run_word(memory)
+        return pd.Series((memory[:, output] + (memory[:, output + 1] << 8)).astype("int32"))
+
+    return answer

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,15 @@ def sort(df: DataFrame, columns: Sequence[str], descending: bool = False) -> Dat
 def top(df: DataFrame, columns: Sequence[str], n: int, descending: bool = False) -> DataFrame:
     """The first n rows of sort(): planned as TakeOrderedAndProject, never a full sort."""
     return sort(df, columns, descending).limit(n)
+
+
+def shuffled(df: DataFrame, key: str, seed: str, place: str) -> DataFrame:
+    """A seeded random order of unique keys: each row with its place from 1.
+
+    Places are counts of the hash prefixes before a row's own, plus a row number within it.
+    """
+    rows = df.withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))).withColumn("_g", F.substring("_h", 1, 3))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy("_g").agg(F.count("*").alias("_n")).select(F.col("_g").alias("_gg"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_g").orderBy("_h", key))
+    return rows.withColumn("_at", inside).join(groups, F.col("_g") == F.col("_gg")).select(*df.columns, (F.col("_before") + F.col("_at")).alias(place))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from heddle.functions import linalg, machines, scalars
 from heddle.operators import bitmaps, keyed, relational, sortedtable, webgraph
 from heddle.session import shared_dir
+from heddle.sources import mirror
 from heddle.sources.tables import load
 
 QUERIES: dict = {}
@@ -48,6 +49,22 @@ def scan_table(spark, sf_dir):
     return load(spark, sf_dir, "nation")
 
 
+LITERAL = "SELECT * FROM (VALUES ('1', 'First', 'a|b'), ('10', 'Tenth', 'b'), ('9', 'Ninth', 'c')) AS t(id, title, kinds)"
+query("scan_literal", LITERAL)(lambda spark, sf_dir: spark.sql(LITERAL))
+
+
+@query("explode_kinds", "SELECT id, unnest(string_split(kinds, '|')) AS kind FROM (" + LITERAL + ")")
+def explode_kinds(spark, sf_dir):
+    """The packed multi-valued column as rows."""
+    return spark.sql(LITERAL).select("id", F.explode(F.split("kinds", r"\|")).alias("kind"))
+
+
+@query("shuffle_order", "SELECT c_custkey, row_number() OVER (ORDER BY md5('shuffle:' || c_custkey), c_custkey) AS place FROM customer")
+def shuffle_order(spark, sf_dir):
+    """A seeded random order with places, by key prefixes so that no task sorts everything."""
+    return relational.shuffled(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "shuffle", "place")
+
+
 @query("project_reorder", "SELECT o_totalprice AS price, o_orderkey AS k, o_totalprice AS price_again FROM orders")
 def project_reorder(spark, sf_dir):
     return R.project(load(spark, sf_dir, "orders"), [3, 0, 3], ["price", "k", "price_again"])
@@ -313,6 +330,13 @@ def wah_rle_roundtrip(spark, sf_dir):
     return bitmaps.decode(_runs(spark, sf_dir))
 
 
+@query("wah64_rle_roundtrip", "SELECT CAST(floor(o_totalprice / 10) AS BIGINT) AS x FROM orders UNION SELECT p_partkey + 100000 FROM part")
+def wah64_rle_roundtrip(spark, sf_dir):
+    """The same with groups of 63 bits."""
+    values = load(spark, sf_dir, "orders").select(F.floor(F.col("o_totalprice") / 10).alias("x")).union(load(spark, sf_dir, "part").select(F.col("p_partkey") + 100000))
+    return bitmaps.decode(bitmaps.runs(bitmaps.groups(values, "x", 63), 63), 63)
+
+
 # Pages and links
 
 
@@ -461,6 +485,16 @@ SUM_SQL = "SELECT p_partkey, CAST((p_size * (p_size + 1) // 2) % 256 AS INTEGER)
 query("vm_register_program", SUM_SQL)(_machine(REGISTER_SUM, machines.REGISTER_OPS, machines.run_register))
 query("vm_stack_program", SUM_SQL)(_machine(STACK_SUM, machines.STACK_OPS, machines.run_stack))
 
+WORD_SUM = bytes([machines.WORD_LOAD, 1, 64, machines.WORD_LOAD, 2, 66, machines.WORD_ADD, 1, 2, machines.WORD_ADD | 16, 1, 7, machines.WORD_SUB, 1, 2, machines.WORD_STORE, 1, 68, machines.WORD_HALT])
+
+
+@query("vm_word_program", "SELECT o_orderkey, CAST((o_orderkey + 7) & 65535 AS INTEGER) AS answer FROM orders")
+def vm_word_program(spark, sf_dir):
+    """The 16-bit machine: loads two words, adds, adds 7, subtracts, stores."""
+    answer = machines.word_column(WORD_SUM, (64, 66), 68)
+    return load(spark, sf_dir, "orders").select("o_orderkey", answer(F.col("o_orderkey"), F.col("o_custkey")).alias("answer"))
+
+
 # Arrays, maps, text, encodings
 
 
@@ -560,6 +594,15 @@ def type_name(spark, sf_dir):
 # Files
 
 
+@query("mirror_files", "SELECT 'page-' || page_id || '/index.html' AS path, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")
+def mirror_files(spark, sf_dir):
+    """One file a page below a new shared folder."""
+    folder = scratch(spark, "mirror")
+    pages = load(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit("/index.html")).alias("path"), "html")
+    return mirror.write_pages(pages, folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+
 @query("text_source_limit", "SELECT DISTINCT c_name AS word FROM customer ORDER BY word LIMIT 100")
 def text_source_limit(spark, sf_dir):
     """A word list in text files, read with a limit on rows."""
