@@ -9,7 +9,7 @@ piece's length.  A full bin closes at once; where a new bin is needed and all ar
 open, the fullest closes first.
 
 Scale: tokenizing is map-only and only (doc_id, piece, length, crc) rows are
-dealt out, by a hash, to packers of about ``PIECES`` pieces each; a packer takes its pieces
+dealt out in turn to packers of about ``PIECES`` pieces each; a packer takes its pieces
 longest first, so what stays open at its end are a few bins out of many thousands.
 Memory of a packer is its open bins.
 
@@ -114,8 +114,7 @@ def pack(found: DataFrame, capacity: int, open_bins: int = OPEN_BINS) -> DataFra
                 [*batch.columns, pa.array(placed[:, 0] + (part << 32)), pa.array(placed[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"]
             )
 
-    dealt = found.repartition(packers, F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
-    dealt = dealt.sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
+    dealt = found.repartition(packers).sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(run, PIECE_SCHEMA + ", sequence_id long, offset long")
 
 

@@ -121,9 +121,10 @@ def has_glyphs(text: str) -> bool:
 
 # Spelled digits and the words and brackets of disguises.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+GAP = r"(?:(?<=\S)\s+)?"  # white space from its beginning only, so that a long run is read once
 OPEN, CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
-DOT = re.compile(rf"\s*{OPEN}(?:dot|punkt|point|punto|\.){CLOSE}\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT|Dot)\s+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.I)
-AT = re.compile(rf"\s*{OPEN}(?:at|arroba|@){CLOSE}\s*|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])(?:\s+at\s+|[_-]at[_-])(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\ue001[A-Za-z0-9-])", re.I)
+DOT = re.compile(rf"{GAP}{OPEN}(?:dot|punkt|point|punto|\.){CLOSE}\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT|Dot)\s+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.I)
+AT = re.compile(rf"{GAP}{OPEN}(?:at|arroba|@){CLOSE}\s*|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])(?:\s+at\s+|[_-]at[_-])(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\ue001[A-Za-z0-9-])", re.I)
 WORD = "(?:" + "|".join(SPELLED) + ")"
 SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s-]+(?={WORD}))?{WORD}(?:[\s,.-]{{1,2}}{WORD}){{3,}}(?![A-Za-z])|(?<![A-Za-z])plus[\s-]+(?=[0-9])|(?<![A-Za-z]){WORD}(?:[\s-]{WORD})*(?=\ue001)|(?<=\ue001){WORD}(?:[\s-]{WORD})*(?![A-Za-z])", re.I)
 TOKEN = re.compile(rf"plus[\s-]+|{WORD}|[\s,.-]+", re.I)

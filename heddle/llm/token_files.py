@@ -180,7 +180,8 @@ def write(docs: DataFrame, folder: str, path: str, end: int) -> list[tuple[str,
 
     frames = cut(docs.mapInArrow(compress, "doc_id long, frame binary, n long"))
     shards = max(1, -(-frames.count() // SHARD_DOCS))
-    dealt = frames.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "frame")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("n", "frame").asc()]  # the hash spreads an id that very many rows have
+    dealt = frames.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     written = dealt.mapInArrow(store_shard, "part long, name string, docs long, ids long").collect()
     return [(r["name"], r["docs"], r["ids"]) for r in sorted(written, key=lambda r: r["part"])]
 

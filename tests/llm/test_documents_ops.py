@@ -320,6 +320,11 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert base == [] and [(k, text[a:b]) for k, a, b in more] == [(kind, source)]
 
 
+def test_long_runs_are_read_once():
+    text = "(dot) " + " " * 200_000 + "a" * 200_000 + "(" * 20_000 + "1" * 100_000 + "+1" + " " * 100_000 + "two three four five six"
+    assert pii.find(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "one two three apples", "polka dot dress at nine", "sent at 10.30 (dot)", ""])
 def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
@@ -374,3 +379,21 @@ def test_toxicity_held_out(spark, save, documents):
     for i, _, y in labels:
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i]["predicted"] == y == (got[i]["score"] >= 0.7)
     assert got[700]["score"] == pytest.approx(toxicity.BASE)
+
+
+def test_parts_cover_a_column_in_bounded_pieces():
+    import pyarrow as pa
+
+    from heddle.llm.batches import parts
+
+    column = pa.array(["x" * 10, None, "", "y" * 5000, "z", "z"])
+    assert list(parts(column, 20, 2)) == [(0, 2), (2, 3), (3, 4), (4, 6)] and list(parts(column.slice(0, 0))) == []
+
+
+def test_smallest_by_hash_is_bounded_and_whole(spark):
+    from heddle.llm.batches import smallest_by_hash
+
+    df = spark.range(5000)
+    got = [r["id"] for r in smallest_by_hash(df, ["id"], 100, 5000).collect()]
+    want = [r["id"] for r in df.selectExpr("id", "xxhash64(id) AS h").orderBy("h").limit(100).collect()]
+    assert got == want and smallest_by_hash(df, ["id"], 9000, 5000).count() == 5000
