@@ -290,12 +290,12 @@ def _nations(spark, sf_dir):
     return bitmaps.build(load(spark, sf_dir, "customer"), "c_nationkey"), bitmaps.build(load(spark, sf_dir, "supplier"), "s_nationkey")
 
 
-@query("bitmap_union", "SELECT CASE WHEN k > 0 THEN 1 + (k - 1) // 32768 ELSE 0 END AS bucket, count(*) AS members FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) GROUP BY 1")
+@query("bitmap_union", "SELECT CAST(CASE WHEN k > 0 THEN 1 + (k - 1) // 32768 ELSE 0 END AS BIGINT) AS bucket, count(*) AS members FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) GROUP BY 1")
 def bitmap_union(spark, sf_dir):
     return bitmaps.cardinality(bitmaps.union(*_nations(spark, sf_dir)))
 
 
-@query("bitmap_intersect", "SELECT CASE WHEN k > 0 THEN 1 + (k - 1) // 32768 ELSE 0 END AS bucket, count(*) AS members FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) GROUP BY 1")
+@query("bitmap_intersect", "SELECT CAST(CASE WHEN k > 0 THEN 1 + (k - 1) // 32768 ELSE 0 END AS BIGINT) AS bucket, count(*) AS members FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) GROUP BY 1")
 def bitmap_intersect(spark, sf_dir):
     return bitmaps.cardinality(bitmaps.intersect(*_nations(spark, sf_dir)))
 
