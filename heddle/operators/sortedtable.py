@@ -89,11 +89,11 @@ def bloom_positions(keys: DataFrame, key: str, bits: Column, hashes: int) -> Dat
     return hashed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).withColumn("position", ((F.col("_h.lo") + F.col("i") * F.col("_h.hi")) % bits).cast("long")).drop("_h")
 
 
-def write_sorted(df: DataFrame, key: str, path: str, partitions: int) -> None:
-    """Range-partitioned, sorted Parquet with a Bloom filter on the key."""
+def write_sorted(df: DataFrame, key: str, path: str, partitions: int | None = None) -> None:
+    """Range-partitioned, sorted Parquet with a Bloom filter on the key; by default AQE sizes the ranges."""
+    ranged = df.repartitionByRange(key) if partitions is None else df.repartitionByRange(partitions, key)
     (
-        df.repartitionByRange(partitions, key)
-        .sortWithinPartitions(key)
+        ranged.sortWithinPartitions(key)
         .write.option(f"parquet.bloom.filter.enabled#{key}", "true")
         .option(f"parquet.bloom.filter.expected.ndv#{key}", "1000000")
         .mode("overwrite")

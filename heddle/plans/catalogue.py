@@ -198,7 +198,7 @@ def sstable_block_index(spark, sf_dir):
 
 def sorted_customers(spark, sf_dir):
     path = scratch(spark, "sorted-customer")
-    sortedtable.write_sorted(load(spark, sf_dir, "customer"), "c_name", path, 4)
+    sortedtable.write_sorted(load(spark, sf_dir, "customer"), "c_name", path)
     return spark.read.parquet(path)
 
 
