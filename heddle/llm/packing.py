@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from heddle.llm import tokens
 from heddle.session import cut
 
-OPEN_BINS, PIECES = 8192, 100_000
+OPEN_BINS, PIECES = 65536, 100_000  # with 8,192 bins a packer of 100,000 pieces made 3.9 % more sequences than the least possible, so 0.15 %
 
 
 class Bins:
