@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.batches import small_batches
 from heddle.session import shared_dir
 
 LONG, SHARE, COVERED, CHUNK = 8, 0.1, 0.9, 512
@@ -249,7 +250,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to page_id, url, text, n_chars, n_boilerplate."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     sizes = pages.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1").select(F.col("host").alias("h_host"), "chunks")
     folder = f"{shared_dir(spark).rstrip('/')}/hosts-{uuid.uuid4().hex}"
     sizes.write.parquet(folder)  # as a table its size is known, so Spark broadcasts it only below its threshold

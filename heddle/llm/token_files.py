@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import tokens
-from heddle.llm.batches import smallest_by_hash
+from heddle.llm.batches import small_batches, smallest_by_hash
 from heddle.session import cut, shared_dir
 
 MAGIC = b"HTOKENS1"
@@ -147,7 +147,7 @@ def sample_dictionary(docs: DataFrame, path: str, end: int, kind: str) -> bytes:
 
 def write(docs: DataFrame, folder: str, path: str, end: int) -> list[tuple[str, int, int]]:
     """Write (doc_id, text) rows; (name, documents, ids) of each shard, in order."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = id_type(tokens.cache(path).tokenizer.get_vocab_size())
     dictionary = sample_dictionary(docs, path, end, kind)
     store, root = fs.FileSystem.from_uri(folder)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.batches import smallest_by_hash, text_parts
+from heddle.llm.batches import small_batches, smallest_by_hash, text_parts
 from heddle.session import cut
 
 TRAIN_ROWS, FEATURES = 20_000, 20_000
@@ -327,7 +327,7 @@ def scores(docs: DataFrame, weights: dict[str, float], counts: np.ndarray, carry
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    counts = count_characters(docs)
+    counts = count_characters(small_batches(docs))
     return train(docs, labels, counts), counts
 
 
