@@ -473,7 +473,7 @@ def vm_word16(spark, sf_dir):
 
 
 REGISTER_SUM = "load r1 1\nbeqz r1 15\nadd r2 r1\nsubi r1 1\nbeqz r1 2\njump 14\nstore r2 0\nhalt"
-STACK_SUM = "push 1\npush 1\nbeqz 15\npop\npushi 1\npush 1\nsub\nstore 1\npush 1\nadd\npush 1\njump 12\npop\nstore 0\nhalt"
+STACK_SUM = "push 1\nbeqz 14\npush 2\nadd\nstore 2\npushi 1\npush 1\nsub\nstore 1\njump 8\npush 2\nstore 0\nhalt"
 
 
 def _machine(program, ops, run):

@@ -221,17 +221,17 @@ def run(program, ops, machine, *inputs):
 
 
 def test_register_machine():
-    assert run("load r1 1\nload r2 2\nadd r1 r2\nstore r1 0\nhalt", R, machines.run_register, (1, 2), (255, 1)) == [3, 0]
-    assert run("load r1 1\nload r2 2\nsub r1 r2\nstore r1 0\nhalt", R, machines.run_register, (5, 3), (0, 1)) == [2, 255]
-    assert run("load r1 1\njump 16\nstore r1 0\nhalt", R, machines.run_register, (42, 0)) == [0]
-    assert run("load r1 1\nload r2 2\nbeqz r2 3\nstore r1 0\nhalt", R, machines.run_register, (42, 0), (42, 1)) == [0, 42]
-    assert run("load r1 1\naddi r1 3\naddi r1 5\nstore r1 0\nhalt", R, machines.run_register, (0, 0), (20, 0)) == [8, 28]
+    assert run("load r1 1\nload r2 2\nadd r2 r1\nstore r2 0\nhalt", R, machines.run_register, (100, 100), (200, 100)) == [200, 44]
+    assert run("load r1 1\nload r2 2\nsub r2 r1\nstore r2 0\nhalt", R, machines.run_register, (7, 9), (9, 7)) == [2, 254]
+    assert run("load r1 2\njump 16\nload r1 1\nstore r1 0\nhalt", R, machines.run_register, (1, 77)) == [77]
+    assert run("load r2 2\nbeqz r2 6\naddi r1 9\nstore r1 0\nhalt", R, machines.run_register, (0, 0), (0, 3)) == [0, 9]
+    assert run("load r1 1\naddi r1 200\nsubi r1 60\nstore r1 0\nhalt", R, machines.run_register, (0, 0), (200, 0)) == [140, 84]
 
 
 def test_stack_machine():
-    assert run("push 1\npush 2\nsub\nstore 0\nhalt", S, machines.run_stack, (3, 5), (1, 0)) == [2, 255]
-    assert run("push 1\njump 14\nstore 0\nhalt", S, machines.run_stack, (42, 0)) == [0]
-    assert run("push 1\npush 2\nbeqz 3\npop\nstore 0\nhalt", S, machines.run_stack, (42, 0), (42, 1)) == [0, 42]
+    assert run("push 2\npush 1\nsub\nstore 0\nhalt", S, machines.run_stack, (9, 7), (7, 9)) == [2, 254]
+    assert run("push 1\njump 14\npushi 9\nstore 0\nhalt", S, machines.run_stack, (42, 0)) == [42]
+    assert run("push 2\nbeqz 2\npushi 7\nstore 0\nhalt", S, machines.run_stack, (1, 0), (1, 5)) == [0, 7]
     with pytest.raises(machines.MachineError):
         run("add\nhalt", S, machines.run_stack, (0, 0))
     with pytest.raises(machines.MachineError):
