@@ -196,9 +196,11 @@ class Restorer:
 
     def reading(self, token: str) -> str:
         if (found := self.seen.get(token)) is None:
+            found = " ".join(self.model.decode(lattice(token[k : k + 64])) for k in range(0, len(token), 64))
             if len(self.seen) >= self.cached:
                 self.seen.clear()
-            found = self.seen[token] = " ".join(self.model.decode(lattice(token[k : k + 64])) for k in range(0, len(token), 64))
+            if len(token) <= 64:
+                self.seen[token] = found
         return found
 
     @staticmethod
