@@ -65,7 +65,11 @@ def lockstep(memory: np.ndarray, start: int, step: Callable[[np.ndarray, int], n
 
 def by_code(memory: np.ndarray, rows: np.ndarray, at: int, width: int):
     """Rows grouped by what stands in their memory at pc: programs may have changed themselves."""
-    seen, which = np.unique(memory[rows, at : at + width], axis=0, return_inverse=True)
+    stands = memory[rows, at : at + width]
+    if (stands == stands[0]).all():
+        yield np.arange(len(rows)), stands[0].tolist()
+        return
+    seen, which = np.unique(stands, axis=0, return_inverse=True)
     for k, code in enumerate(seen):
         yield np.nonzero(which.reshape(-1) == k)[0], [int(x) for x in code]
 

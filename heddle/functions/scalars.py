@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -35,8 +37,9 @@ def array_sum(values: Column) -> Column:
 
 
 def pangram(text: Column) -> Column:
-    """Whether all 26 letters occur, in either case."""
-    return F.size(F.array_distinct(F.split(F.regexp_replace(F.lower(text), "[^a-z]", ""), ""))) - F.when(F.length(F.regexp_replace(F.lower(text), "[^a-z]", "")) == 0, 1).otherwise(0) == 26
+    """Whether all 26 letters occur, in either case; the search stops at the first that does not."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a & b, [low.contains(chr(c)) for c in range(ord("a"), ord("z") + 1)])
 
 
 def detab(text: Column, stop: int = 8) -> Column:
