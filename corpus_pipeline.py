@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm import mixing, packing, pii, simhash, toxicity
+from heddle.llm import mixing, neardup, packing, pii, toxicity
 from heddle.session import cut, shared_dir
 from heddle.sources.tables import load
 
@@ -37,10 +37,10 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash component, the one with the least id; see simhash.representatives."""
+    """One document of every component of near copies, the one with the least id; see neardup."""
     key = free_name(docs, "dedup_id")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    first = cut(simhash.representatives(keyed.select(F.col(key).alias("doc_id"), "text")).withColumnsRenamed({"doc_id": "kept_id", "n": "kept_n"}))
+    first = cut(neardup.representatives(keyed.select(F.col(key).alias("d"), "text")).select(F.col("d").alias("kept_id"), F.col("n").alias("kept_n")))
     once, repeated = first.filter("kept_n = 1"), first.filter("kept_n > 1")
     here = lambda ids: keyed.join(ids, keyed[key] == ids["kept_id"], "left_semi")
     if repeated.isEmpty():
