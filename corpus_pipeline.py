@@ -37,15 +37,21 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near copies, the one with the least id; see neardup."""
+    """One document of every component of near copies, the one with the least id; see neardup.
+
+    A document is an id and a text: rows with one id and different texts are different documents, and rows
+    equal in both are one.
+    """
     key = free_name(docs, "dedup_id")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    first = cut(neardup.representatives(keyed.select(F.col(key).alias("d"), "text")).select(F.col("d").alias("kept_id"), F.col("n").alias("kept_n")))
+    text = free_name(keyed, "dedup_text")
+    keyed = keyed.withColumn(text, F.xxhash64("text"))
+    first = cut(neardup.representatives(keyed.select(F.col(key).alias("d"), "text")).select(F.col("d").alias("kept_id"), F.col("th").alias("kept_text"), F.col("n").alias("kept_n")))
     once, repeated = first.filter("kept_n = 1"), first.filter("kept_n > 1")
-    here = lambda ids: keyed.join(ids, keyed[key] == ids["kept_id"], "left_semi")
+    here = lambda ids: keyed.join(ids, (keyed[key] == ids["kept_id"]) & (keyed[text] == ids["kept_text"]), "left_semi")
     if repeated.isEmpty():
-        return here(once).drop(key)
-    return here(once).union(here(repeated).dropDuplicates([key])).drop(key)
+        return here(once).drop(key, text)
+    return here(once).union(here(repeated).dropDuplicates([key, text])).drop(key, text)
 
 
 def redact_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,11 @@ def test_stage_keeps_one_of_each_exact_component(spark, save, documents, monkeyp
 def test_hashed_sets_are_the_shingles():
     for _, t in texts():
         assert len(neardup.shingles(t)) == len(shingle_set(t))
+
+
+def test_one_id_with_several_texts(spark, save, documents):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (7, f"{c} end"), (3, c), (7, a), (9, b)]
+    docs = spark.read.parquet(save(documents=documents([(i, t, "s") for i, t in rows])) + "/documents.parquet")
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == [(3, c), (7, a), (7, b)]
