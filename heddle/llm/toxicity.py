@@ -16,8 +16,8 @@ whose precision is under ``PURE`` or has a lower bound under ``SURE`` are left o
 beginnings that clean words share and names from one story do not matter.  A score is the noisy or of the features found.
 
 Scale: counting, training counts and scoring are map-only passes with small
-combined tables between; the model is at most ``FEATURES`` features and the
-character table, whatever the input.  Long texts are worked on whole.
+combined tables between; features are chosen in Spark, and only those that pass are
+collected: they are bounded by the training rows, as each is in ``LEAST_DOCS`` toxic ones at least.  Long texts are worked on whole.
 
 Cases: a null or empty text gets the base score; missing, null or contradictory labels
 take no part in training (a document with two different labels is left out); without
@@ -27,7 +27,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,7 +41,7 @@ from pyspark.sql import types as T
 from heddle.llm.batches import small_batches, smallest_by_hash, text_parts
 from heddle.session import cut
 
-TRAIN_ROWS, FEATURES = 20_000, 20_000
+TRAIN_ROWS, HELD = 20_000, 500_000
 PURE, SURE, LEAST_DOCS, Z, BASE = 0.95, 0.75, 8, 1.64, 0.02
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -265,32 +264,35 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, f
     firsts = rows.select("doc_id", "text").mapInArrow(stories, "doc_id long, story long").groupBy("story").agg(F.min("doc_id").alias("f_id"))
     rows = cut(rows.join(firsts.select("f_id"), F.col("doc_id") == F.col("f_id"), "left_semi").select("doc_id", "text", "toxic"))
 
-    def counter(wanted: set[str] | None):
-        """Documents a feature: of toxic ones where ``wanted`` is None, else of all for the features wanted."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Toxic and all documents a feature, in tables of about HELD features."""
+        restorer = Restorer(CharModel(counts))
+        toxic, every = Counter(), Counter()
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            restorer, found = Restorer(CharModel(counts)), Counter()
-            for _, texts in text_parts(batches):
-                for text in texts:
-                    here = features_of(words_of(text, restorer))
-                    found.update(here if wanted is None else here & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
+        def table() -> pa.RecordBatch:
+            names = list(every)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([every[f] for f in names], pa.int64())], names=["feature", "t", "n"])
 
-        return count
-
-    def counted(part: DataFrame, wanted: set[str] | None) -> DataFrame:
-        return part.select("text").mapInArrow(counter(wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-
-    often = counted(rows.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_DOCS).orderBy(F.col("n").desc(), "feature").limit(FEATURES)
-    toxic = {r["feature"]: r["n"] for r in often.collect()}
-    every = {r["feature"]: r["n"] for r in counted(rows, set(toxic)).collect()} if toxic else {}
-    return {f: (t + 0.5) / (every[f] + 1) for f, t in toxic.items() if t >= PURE * every[f] and lower_bound(t, every[f]) >= SURE}
-
-
-def lower_bound(hits: int, n: int) -> float:
-    """Lower end of the Wilson interval of hits out of n."""
-    p = hits / n
-    return (p + Z * Z / (2 * n) - Z * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+        for batch, texts in text_parts(batches):
+            for text, label in zip(texts, batch.column("toxic").to_pylist()):
+                here = features_of(words_of(text, restorer))
+                every.update(here)
+                if label:
+                    toxic.update(here)
+                if len(every) > HELD:
+                    yield table()
+                    toxic, every = Counter(), Counter()
+        yield table()
+
+    found = rows.select("text", "toxic").mapInArrow(count, "feature string, t long, n long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    return {r["feature"]: (r["t"] + 0.5) / (r["n"] + 1) for r in accepted(found).collect()}
+
+
+def accepted(found: DataFrame) -> DataFrame:
+    """The features (feature, t toxic of n documents) that are precise enough."""
+    p, n = F.col("t") / F.col("n"), F.col("n")
+    low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)  # lower end of the Wilson interval
+    return found.filter(F.col("t") >= LEAST_DOCS).filter((F.col("t") >= PURE * n) & (low >= SURE))
 
 
 class Scorer:
