@@ -27,6 +27,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -142,10 +143,13 @@ class CharModel:
         self.log: list[float] = np.log(p3).ravel().tolist()
 
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The likeliest string through a lattice of (string of 0 or more characters, cost) choices."""
+        """The likeliest string through a lattice of (string of 0 or more characters, cost) choices.
+
+        What all states begin with is put aside every 64 steps, so a step's work does not grow with the length.
+        """
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        log = self.log
-        for choices in [*lattice, [(" ", 0.0)]]:
+        log, settled = self.log, []
+        for step, choices in enumerate([*lattice, [(" ", 0.0)]], 1):
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in states.items():
                 for piece, cost in choices:
@@ -158,7 +162,11 @@ class CharModel:
                     if held is None or s > held[0]:
                         new[x, y] = (s, text + piece)
             states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64])
-        return max(states.values())[1].strip()
+            if step % 64 == 0:
+                same = os.path.commonprefix([text for _, text in states.values()])
+                settled.append(same)
+                states = {at: (score, text[len(same) :]) for at, (score, text) in states.items()}
+        return ("".join(settled) + max(states.values())[1]).strip()
 
 
 # Costs: dropping a symbol or a digit, letting either part two words, a space between letters set apart.
@@ -195,7 +203,7 @@ class Restorer:
 
     def reading(self, token: str) -> str:
         if (found := self.seen.get(token)) is None:
-            found = " ".join(self.model.decode(lattice(token[k : k + 64])) for k in range(0, len(token), 64))
+            found = self.model.decode(lattice(token))
             if len(self.seen) >= self.cached:
                 self.seen.clear()
             if len(token) <= 64:

@@ -22,3 +22,14 @@ def test_rare_toxic_words_are_learned_beside_many_frequent_clean_ones(spark):
         labels.append((i, toxic))
     weights, _ = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert weights and set(weights) == {"zzidiot ", "zzid", "zzidi", "zzidio"}
+
+
+def test_long_disguises_are_read_whole():
+    texts = ["the idiot and the moron were here with a worthless loser and other clown people"] * 9
+    restorer = toxicity.Restorer(toxicity.CharModel(toxicity.trigram_counts(texts, toxicity.code_table())))
+    assert restorer.reading("id" + "i" * 70 + "ot") == "idiot"
+    sentence = "theidiotandthemoronwereherewithaworthlessloserandotherclownpeople"
+    for sep in " .":
+        found = restorer.reading(sep.join(sentence * 50))
+        assert found.replace(" ", "") == sentence * 50
+        assert all(found.count(w) == 50 for w in ("idiot", "moron", "worthless", "loser", "clown", "people"))
