@@ -147,6 +147,12 @@ def search_block(forest: Forest | None, longest: float, width: int, queries: pa.
     return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds)], names=["query_id", "vec_id", "score"])
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """At most SAMPLE distinct vectors, the smallest by hash."""
+    distinct = rows.select("vec").distinct()
+    return smallest_by_hash(distinct, ["vec"], SAMPLE, distinct.count())
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, fraction: float = FRACTION, least: int = LEAST) -> DataFrame:
     """(id, vec) queries against (id, vec) rows, ``queries`` a part of them: query_id, rank, vec_id, score."""
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -155,7 +161,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, fraction: float = FRACT
     n_queries = queries.count()
     forest = None
     if n > least:
-        sample = smallest_by_hash(rows.select("vec").distinct(), ["vec"], SAMPLE, n).toArrow()["vec"]
+        sample = sampled(rows).toArrow()["vec"]
         lifted = lift(padded(matrix(sample).astype(np.float64), width), longest)
         depth = max(1, int(np.log2(max(2, min(n / LEAF, len(lifted) / 8)))))
         forest = Forest(lifted, depth)

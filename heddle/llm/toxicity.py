@@ -257,11 +257,16 @@ def story(text: str | None) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
 
 
-def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, float]:
-    """Feature -> precision, from the bounded sample of labelled training rows."""
+def training_rows(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of at most TRAIN_ROWS labelled documents outside the held-out third, the smallest by hash."""
     labelled = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
     labelled = labelled.filter("crc32(cast(doc_id AS string)) % 3 <> 1").select("doc_id", "toxic")
-    chosen = smallest_by_hash(labelled, ["doc_id"], TRAIN_ROWS, labels.count()).select(F.col("doc_id").alias("l_id"), "toxic")
+    return smallest_by_hash(labelled, ["doc_id"], TRAIN_ROWS, labelled.count())
+
+
+def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, float]:
+    """Feature -> precision, from the bounded sample of labelled training rows."""
+    chosen = training_rows(labels).select(F.col("doc_id").alias("l_id"), "toxic")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # at most TRAIN_ROWS rows
 
     def stories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from heddle.llm import toxicity
+from heddle.llm import ann, toxicity
 
 TRAINING = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
 
@@ -33,3 +33,16 @@ def test_long_disguises_are_read_whole():
         found = restorer.reading(sep.join(sentence * 50))
         assert found.replace(" ", "") == sentence * 50
         assert all(found.count(w) == 50 for w in ("idiot", "moron", "worthless", "loser", "clown", "people"))
+
+
+def test_training_rows_are_counted_as_they_are_filtered(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 50)
+    labels = spark.range(150).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    labels = labels.union(spark.range(9000).select(F.lit(3).alias("doc_id"), F.lit(1).alias("toxic")))
+    assert toxicity.training_rows(labels).count() == 50
+
+
+def test_sample_of_a_table_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    rows = spark.range(9000).select(F.array((F.col("id") % 100).cast("float")).alias("vec"))
+    assert ann.sampled(rows).count() == 50
