@@ -45,17 +45,21 @@ def runs(grouped: DataFrame, width: int = 31, slice_groups: int = 1 << 20) -> Da
     """Word-aligned runs: kind ('fill0', 'fill1', 'literal'), start group, length in groups, word.
 
     Fills of zeros are the gaps between non-empty groups, so only non-empty groups
-    are sorted, in slices of the axis; a fill that crosses slices is cut there.
+    are sorted, in slices of the axis; a table of one row a slice carries the last group before it over.
     """
     full = (1 << width) - 1
     kind = F.when(F.col("word") == full, "fill1").otherwise("literal")
     cell = F.floor(F.col("grp") / slice_groups)
     inside = Window.partitionBy("cell").orderBy("grp")
     rows = grouped.withColumn("cell", cell).withColumn("kind", kind)
-    rows = rows.withColumn("before", F.coalesce(F.lag("grp").over(inside) + 1, F.col("cell") * slice_groups))
+    order = Window.orderBy("cell")  # one row a slice
+    edges = rows.groupBy("cell").agg(F.max("grp").alias("last"), F.count_if(F.col("kind") == "fill1").alias("ones"))
+    edges = edges.select(F.col("cell").alias("e_cell"), F.lag("last").over(order).alias("e_last"), (F.sum("ones").over(order) - F.col("ones")).alias("e_ones"))
+    rows = rows.join(edges, F.col("cell") == F.col("e_cell"))
+    rows = rows.withColumn("before", F.coalesce(F.lag("grp").over(inside) + 1, F.col("e_last") + 1, F.lit(0)))
     zeros = rows.filter("grp > before").select(F.lit("fill0").alias("kind"), F.col("before").alias("start"), (F.col("grp") - F.col("before")).alias("length"), F.lit(0).cast("long").alias("word"))
-    ones = rows.filter("kind = 'fill1'").withColumn("island", F.col("grp") - F.row_number().over(inside))
-    ones = ones.groupBy("cell", "island").agg(F.min("grp").alias("start"), F.count("*").alias("length"))
+    ones = rows.filter("kind = 'fill1'").withColumn("island", F.col("grp") - F.col("e_ones") - F.row_number().over(inside))
+    ones = ones.groupBy("island").agg(F.min("grp").alias("start"), F.count("*").alias("length"))
     ones = ones.select(F.lit("fill1").alias("kind"), "start", "length", F.lit(full).cast("long").alias("word"))
     literal = rows.filter("kind = 'literal'").select("kind", F.col("grp").alias("start"), F.lit(1).cast("long").alias("length"), "word")
     return zeros.union(ones).union(literal)
