@@ -63,37 +63,94 @@ def test_empty_and_single(spark, save, name):
     assert registry.QUERIES[name](spark, save(embeddings=vectors(spark, [(100, [1.0, 2.0])]))).collect() == []
 
 
-def test_nearest_is_exact_on_small_tables(spark, save):
-    rows = cases()
-    got = registry.QUERIES["op1_nearest_neighbours"](spark, save(embeddings=vectors(spark, rows))).collect()
-    want = brute(usable(rows, zero=False), 20, 20, lambda a, b: float((a * b).sum()))
+def frame(spark, rows):
+    """The rows that op1 takes, as (id, vec)."""
+    good = [(i, v) for i, v in usable(rows, zero=False)]
+    return vectors(spark, good).select("vec_id", "embedding").withColumnsRenamed({"vec_id": "id", "embedding": "vec"}), good
+
+
+def listed(got):
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(by) == set(want)
-    for q, found in by.items():
-        assert [x[:2] for x in sorted(found)] == [x[:2] for x in want[q][0]]
-        assert np.allclose([x[2] for x in sorted(found)], [x[2] for x in want[q][0]], atol=1e-12)
-
-
-@pytest.mark.parametrize("scale", [False, True])
-def test_forest_recall(spark, save, monkeypatch, scale):
-    """Random vectors, of one length or of many: the forest's own search, not the small-table path."""
-    monkeypatch.setattr(ann, "LEAST", 0)
-    rng = np.random.default_rng(9)
-    x = rng.normal(size=(6000, 32))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x *= rng.uniform(0.5, 1.5, (6000, 1)) if scale else 1
-    rows = vectors(spark, list(enumerate(x))).select("vec_id", "embedding")
-    rows = rows.withColumnsRenamed({"vec_id": "id", "embedding": "vec"})
-    got = ann.nearest(rows.filter("id % 100 = 0"), rows, 20, least=0).toPandas()
-    x = x.astype(np.float32).astype(float)
+    return {q: sorted(v) for q, v in by.items()}
+
+
+@pytest.mark.parametrize("cell", [1 << 21, 64])
+def test_all_leaves_give_the_brute_force_result(spark, monkeypatch, cell):
+    """Ties, repeated rows and vectors of many rows: with every leaf visited the cells, their parts and the merge lose and add nothing."""
+    monkeypatch.setattr(ann, "CELL", cell * 1024)
+    monkeypatch.setattr(ann, "LEAF", 8)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "HELD", 100)
+    rows = cases() + [(i, [float(x) for x in np.random.default_rng(i).normal(size=6)]) for i in range(400, 2000)]
+    rows += [(7, rows[7][1])] * 3 + [(400, rows[0][1])]
+    df, good = frame(spark, rows)
+    once = {}
+    for i, v in good:
+        once.setdefault((i, v.tobytes()), []).append((i, v))
+    want = brute(good, 20, 20, lambda a, b: float((a * b).sum()))
+    got = listed(ann.nearest(df.filter("id % 20 = 0"), df, 20, recall=1).collect())
+    assert set(got) == set(want)
+    for q, found in got.items():
+        if q == 400:  # two vectors of one id: a candidate has its best score
+            both = {}
+            for r in range(2):
+                mine = [v for i, v in good if i == 400][r]
+                for n, (i, w) in enumerate(good):
+                    if i != 400:
+                        both[n] = max(both.get(n, -9e9), float((mine * w).sum()))
+            best = sorted((-s, good[n][0]) for n, s in both.items())[:20]
+            assert [x[1] for x in found] == [i for _, i in best]
+            continue
+        assert [x[:2] for x in found] == [x[:2] for x in want[q][0]]
+        assert np.allclose([x[2] for x in found], [x[2] for x in want[q][0]], atol=1e-12)
+
+
+def test_query_scores_are_exact_and_recall_is_high(spark, save):
+    rows = cases() + [(i, np.random.default_rng(i).normal(size=6)) for i in range(400, 2400)]
+    got = listed(registry.QUERIES["op1_nearest_neighbours"](spark, save(embeddings=vectors(spark, rows))).collect())
+    good = usable(rows, zero=False)
+    by = {i: v for i, v in good}
+    want = brute(good, 20, 20, lambda a, b: float((a * b).sum()))
+    assert set(got) == set(want)
     hits = 0
-    for q in range(0, 6000, 100):
+    for q, found in got.items():
+        assert [x[0] for x in found] == list(range(1, 21)) and q not in {x[1] for x in found}
+        assert np.allclose([x[2] for x in found], [(by[q] * by[x[1]]).sum() for x in found], atol=1e-12)
+        assert [(-x[2], x[1]) for x in found] == sorted((-x[2], x[1]) for x in found)
+        hits += len({x[1] for x in found} & {x[1] for x in want[q][0]})
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def share_and_recall(spark, x, every):
+    """Of a forest fitted as the operator does: mean share of rows in visited leaves, and recall of the operator."""
+    rows = vectors(spark, list(enumerate(x))).select("vec_id", "embedding").withColumnsRenamed({"vec_id": "id", "embedding": "vec"})
+    got = ann.nearest(rows.filter(f"id % {every} = 0"), rows, 20).toPandas()
+    x = x.astype(np.float32).astype(float)
+    sample = ann.lift(x, np.linalg.norm(x, axis=1).max())
+    forest = ann.Forest(sample, int(np.log2(min(len(x) / ann.LEAF, len(x) / 8))))
+    forest.calibrate(sample, 20, ann.RECALL)
+    leaves, hits, share, n = forest.leaves(sample), 0, 0.0, 0
+    for q in range(0, len(x), every):
         s = x @ x[q]
         s[q] = -9
         hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-s)[:20].tolist()))
-    assert hits >= 0.9 * 20 * 60
+        seen = forest.visit(ann.lift_query(x[q : q + 1])[0])
+        share += np.logical_or.reduce([seen[t][leaves[t]] for t in range(forest.trees)]).mean()
+        n += 1
+    return share / n, hits / (20 * n)
+
+
+def test_forest_recall_and_share(spark):
+    """Vectors of many lengths without structure, and in clusters, where a small share of the rows is enough."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 32)) * rng.uniform(0.5, 1.5, (6000, 1))
+    share, recall = share_and_recall(spark, x, 100)
+    assert recall >= 0.9 and share < 0.65
+    centres = rng.normal(size=(150, 32))
+    share, recall = share_and_recall(spark, centres[rng.integers(0, 150, 6000)] + 0.3 * rng.normal(size=(6000, 32)), 100)
+    assert recall >= 0.9 and share < 0.3
 
 
 # pages
