@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import linalg, machines, scalars
 from heddle.operators import bitmaps, keyed, relational, sortedtable, webgraph
-from heddle.session import shared_dir
+from heddle.session import shared_dir, shared_uri
 from heddle.sources import mirror
 from heddle.sources.tables import load
 
@@ -597,10 +597,9 @@ def type_name(spark, sf_dir):
 @query("mirror_files", "SELECT 'page-' || page_id || '/index.html' AS path, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")
 def mirror_files(spark, sf_dir):
     """One file a page below a new shared folder."""
-    folder = scratch(spark, "mirror")
+    folder = shared_uri(spark, f"mirror-{uuid.uuid4().hex}")
     pages = load(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit("/index.html")).alias("path"), "html")
-    return mirror.write_pages(pages, folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
+    return mirror.write_pages(pages, folder)
 
 
 @query("text_source_limit", "SELECT DISTINCT c_name AS word FROM customer ORDER BY word LIMIT 100")

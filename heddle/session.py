@@ -39,6 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """The URI of a folder below the shared one, on the file system that Spark itself takes for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def cut(df):
     """Materialise ``df`` with checkpoint() in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
