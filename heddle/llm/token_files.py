@@ -8,7 +8,8 @@ reader gets at a short document with the index and one frame, and refuses a shar
 with another dictionary.
 
 The dictionary is trained on the serialized ids of at most ``SAMPLE`` documents, those with the
-smallest hash of id and text; too few to train on serve as a raw dictionary instead.
+smallest hash of id and text, leaving out those of more than ``SAMPLE_BYTES``, which need no dictionary; so the
+driver gets a bounded sample.  Too few to train on serve as a raw dictionary instead.
 
 Scale: documents are tokenized and compressed before the shuffle, so only frames
 move; they are dealt by ranges of doc_id and each task streams one shard, written under a
@@ -37,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import tokens
-from heddle.llm.batches import small_batches, smallest_by_hash
-from heddle.session import cut, shared_dir
+from heddle.llm.batches import smallest_by_hash
+from heddle.session import cut, shared_uri
 
 MAGIC = b"HTOKENS1"
-SAMPLE, DICTIONARY_BYTES, LEVEL, SHARD_DOCS = 1000, 65536, 3, 16384
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, SHARD_DOCS = 1000, 65536, 65536, 3, 16384
 HEAD = len(MAGIC) + 32 + 1
 
 
@@ -142,12 +143,13 @@ def sample_dictionary(docs: DataFrame, path: str, end: int, kind: str) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[b - n : b].astype(kind).tobytes() for b, n in zip(ends, lens)], pa.binary())], names=["ids"])
 
     chosen = smallest_by_hash(docs, ["doc_id", "text"], SAMPLE, docs.count())
-    return train([r.ids for r in chosen.mapInArrow(serialized, "ids binary").collect()])
+    found = chosen.mapInArrow(serialized, "ids binary").filter(F.octet_length("ids") <= SAMPLE_BYTES)
+    return train([r.ids for r in found.collect()])
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int) -> list[tuple[str, int, int]]:
     """Write (doc_id, text) rows; (name, documents, ids) of each shard, in order."""
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = id_type(tokens.cache(path).tokenizer.get_vocab_size())
     dictionary = sample_dictionary(docs, path, end, kind)
     store, root = fs.FileSystem.from_uri(folder)
@@ -223,7 +225,6 @@ END = 1
 def op8_token_files(spark, sf_dir):
     from heddle.sources.tables import load
 
-    folder = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = shared_uri(spark, f"token-files-{uuid.uuid4().hex}")
     shards = write(load(spark, sf_dir, "documents"), folder, tokens.vocabulary("word_bpe_49k.json"), END)
     return read(spark, folder, shards)
