@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.batches import small_batches, text_parts
+from heddle.llm.batches import text_parts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -124,7 +125,8 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 GAP = r"(?:(?<=\S)\s+)?"  # white space from its beginning only, so that a long run is read once
 OPEN, CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 DOT = re.compile(rf"{GAP}{OPEN}(?:dot|punkt|point|punto|\.){CLOSE}\s*|(?<=[A-Za-z0-9])\s+(?:dot|DOT|Dot)\s+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[_-](?:dot|DOT)[_-](?=[A-Za-z0-9])", re.I)
-AT = re.compile(rf"{GAP}{OPEN}(?:at|arroba|@){CLOSE}\s*|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])(?:\s+at\s+|[_-]at[_-])(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\ue001[A-Za-z0-9-])", re.I)
+LABEL = "[A-Za-z0-9-]{1,63}"  # a label of a host name has 63 characters at most, so looking ahead is bounded
+AT = re.compile(rf"{GAP}{OPEN}(?:at|arroba|@){CLOSE}\s*|(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+[.\ue001])|(?<=[A-Za-z0-9])(?:\s+at\s+|[_-]at[_-])(?={LABEL}(?:\.{LABEL}){{0,8}}\ue001[A-Za-z0-9-])", re.I)
 WORD = "(?:" + "|".join(SPELLED) + ")"
 SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s-]+(?={WORD}))?{WORD}(?:[\s,.-]{{1,2}}{WORD}){{3,}}(?![A-Za-z])|(?<![A-Za-z])plus[\s-]+(?=[0-9])|(?<![A-Za-z]){WORD}(?:[\s-]{WORD})*(?=\ue001)|(?<=\ue001){WORD}(?:[\s-]{WORD})*(?![A-Za-z])", re.I)
 TOKEN = re.compile(rf"plus[\s-]+|{WORD}|[\s,.-]+", re.I)
@@ -206,7 +208,8 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
     taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
     for kind, a, b in plain(folded.text.replace(MARK, ".")):
         a, b = folded.source(a, b)
-        if not any(s < b and a < e for s, e in taken[kind]):
+        at = bisect_right(taken[kind], a, key=lambda span: span[1])  # the first plain span that ends after a
+        if at == len(taken[kind]) or taken[kind][at][0] >= b:
             out.append((kind, a, b))
     return out
 
@@ -252,7 +255,7 @@ def detect(docs: DataFrame) -> DataFrame:
             names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds))], names=names)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -272,7 +275,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([o if o is None or t is None else len(t) for o, t in zip(old, texts)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op3_pii(spark, sf_dir):
