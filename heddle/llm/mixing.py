@@ -12,10 +12,10 @@ the target is filled in the source's seeded order of documents; the document in
 which the target ends is taken in part.  So a source's taken words are its
 target rounded to a whole word.
 
-Scale: the seeded order is a running sum inside (source, key prefix) groups with
-4096 prefixes a source, so a source that holds a third of all rows is spread
-over 4096 groups; only the sums of the groups and of the sources are carried
-across groups.  Nothing is collected.
+Scale: the seeded order is a running sum inside (source, key prefix) groups, with
+so many prefixes that a group has about ``GROUP`` rows even if one source has all of them; only the
+sums of the groups and of the sources are carried across groups: one row a group
+of a source in a task, and one row a source in the task that orders sources.  Nothing is collected.
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source of
 its own, last in the order; rows that are repeated in full are separate
@@ -24,12 +24,14 @@ documents; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.session import cut
 
-PREFIX = 3  # hexadecimal digits of the order key that make up a group: 4096 groups a source
+GROUP = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,8 +40,17 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_key(seed: str, doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def order_key(seed: str, doc_id: Column, text: Column | None = None) -> Column:
+    """A seeded order; with the text, rows that share an id, or have none, are spread as well."""
+    parts = [F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))]
+    if text is not None:
+        parts += [F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))]
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
+def prefix_length(rows: int) -> int:
+    """Hexadecimal digits of the order key that make up a group: about ``GROUP`` rows a group, and 4096 groups a source at least."""
+    return max(3, math.ceil(math.log(max(rows, 1) / GROUP, 16)))
 
 
 def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -81,7 +92,8 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int
 
     ``key`` is the seeded order: equal keys fall back on id and size.
     """
-    sized = cut(sized.select("id", "src", "size", "key").withColumn("grp", F.substring("key", 1, PREFIX)))
+    sized = cut(sized.select("id", "src", "size", "key"))
+    sized = sized.withColumn("grp", F.substring("key", 1, prefix_length(sized.count())))
     groups = sized.groupBy("src", "grp").agg(F.sum("size").alias("group_size"))
     per_source = Window.partitionBy("src")
     earlier = per_source.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,7 +128,7 @@ def op9_mix_sources(spark, sf_dir):
 
     docs = load(spark, sf_dir, "documents")
     sized = docs.select(
-        F.col("doc_id").alias("id"), F.col("source").alias("src"), words(F.col("text")).alias("size"), order_key(SEED, F.col("doc_id")).alias("key")
+        F.col("doc_id").alias("id"), F.col("source").alias("src"), words(F.col("text")).alias("size"), order_key(SEED, F.col("doc_id"), F.col("text")).alias("key")
     )
     return mix(sized).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
@@ -124,7 +136,7 @@ def op9_mix_sources(spark, sf_dir):
 OP9_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source AS src, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 sources AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 AS w

@@ -7,8 +7,8 @@ the sequence is cut into shards whose row counts differ by one at most (law
 
 Scale: both global orders are a count of earlier groups plus a row number inside
 a group.  The groups are key prefixes within a source and slices of the rank
-axis, 4096 each, so no window holds a whole source; a source with a third of
-all rows has 4096 groups.  Only group counts are carried across groups.
+axis, their number growing with the rows, so no window holds a whole source, and the order key
+is of id and text, so rows that share an id are spread too.  Only group counts are carried across groups.
 
 Cases: a null text counts as empty (size 1, crc32 0); a null source is a stratum
 of its own; repeated rows are separate rows; an empty table gives an empty
@@ -20,15 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.mixing import order_key
+from heddle.llm.mixing import order_key, prefix_length
 from heddle.session import cut
 
-PREFIX, SLICES = 3, 4096
-
-
 def interleave(rows: DataFrame, shards: int, keep: list[str]) -> DataFrame:
     """Columns (id, src, key, *keep) in; id, *keep, shard and slot out."""
-    rows = cut(rows.select("id", "src", "key", *keep).withColumn("grp", F.substring("key", 1, PREFIX)))
+    rows = cut(rows.select("id", "src", "key", *keep))
+    prefix = prefix_length(rows.count())
+    cuts = 16**prefix
+    rows = rows.withColumn("grp", F.substring("key", 1, prefix))
     earlier = Window.partitionBy("src").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     groups = (
         rows.groupBy("src", "grp")
@@ -47,7 +47,7 @@ def interleave(rows: DataFrame, shards: int, keep: list[str]) -> DataFrame:
         ranked.select(
             "id", "src", "key", *keep,
             (odd.cast("double") / (2 * F.col("of")).cast("double")).alias("rank"),
-            F.floor((odd * SLICES) / (2 * F.col("of"))).cast("long").alias("slice"),
+            F.floor((odd * cuts) / (2 * F.col("of"))).cast("long").alias("slice"),
         )
     )
     axis = Window.orderBy("slice")
@@ -78,7 +78,7 @@ def op5_stratified_shards(spark, sf_dir):
     rows = docs.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("src"),
-        order_key(SEED, F.col("doc_id")).alias("key"),
+        order_key(SEED, F.col("doc_id"), F.col("text")).alias("key"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
@@ -95,7 +95,7 @@ WITH crc_table AS (
            lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
   FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
 sized AS (
-  SELECT doc_id, source AS src, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source AS src, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
          CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
          xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
                list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g'), ','),
