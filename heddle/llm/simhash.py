@@ -10,8 +10,9 @@ branches costs one differing bit, and a pair of nodes that has spent more than t
 is pruned with all below it.  Levels are worked on as arrays, many tries at once.
 
 Scale: equal fingerprints are first made one (combined before the shuffle), so copies cost
-nothing.  Two fingerprints within the budget agree on at least one of budget + 1 bit blocks, so each
-is dealt to the tries of its blocks' values.  A value with more than ``CELL``
+nothing.  Of budget + 2 bit blocks, two fingerprints within the budget agree on two at least, so each
+is dealt to the tries of its values in every pair of blocks: 32 bits a value for a budget of 2, 25 for 3, so that few
+fingerprints share one that are not near.  A value with more than ``CELL``
 fingerprints is split: its fingerprints fall into subsets, and every pair of subsets is a trie of
 its own, so no task holds more and no link is lost.  A trie returns a spanning
 forest of its links, never all pairs.  Components are found by grouped minima and joins (graph.py).
@@ -25,7 +26,7 @@ result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.batches import small_batches, text_parts
+from heddle.llm.batches import text_parts
 from heddle.llm.graph import components
 from heddle.session import cut
 
@@ -88,7 +89,7 @@ def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(fps.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "fps"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def near_pairs(fps: np.ndarray, bounds: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -155,17 +156,18 @@ def forest(fps: np.ndarray, bounds: np.ndarray, budget: int) -> tuple[np.ndarray
     return moved, parent[moved]
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(shift, bits) of budget + 1 blocks that cover 64 bits."""
-    edges = [64 * k // (budget + 1) for k in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def masks(budget: int) -> list[int]:
+    """The bits of every two of budget + 2 blocks that cover 64 bits, as signed longs."""
+    edges = [64 * k // (budget + 2) for k in range(budget + 3)]
+    each = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    return [x - (1 << 64) if x >> 63 else x for x in (a | b for a, b in combinations(each, 2))]
 
 
 def links(distinct: DataFrame, budget: int = 2, cell: int = CELL) -> DataFrame:
     """(tab, fp, node), fp without repeats in a table, to (a, b): pairs of linked nodes that span every component within a trie."""
-    values = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (s, w) in enumerate(blocks(budget))])
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks(budget))])
     dealt = distinct.select("tab", "fp", "node", F.explode(values).alias("at"))
-    dealt = dealt.select("fp", "node", (F.col("tab") * (budget + 1) + F.col("at.k")).alias("block"), "at.value")
+    dealt = dealt.select("fp", "node", (F.col("tab") * len(masks(budget)) + F.col("at.k")).alias("block"), "at.value")
     sizes = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = sizes.select(F.col("block").alias("s_block"), F.col("value").alias("s_value"), F.ceil(F.col("n") / F.lit(cell / 2)).cast("int").alias("parts"), (F.col("n") > cell).alias("hot"))
     dealt = dealt.join(sizes, (F.col("block") == F.col("s_block")) & (F.col("value") == F.col("s_value")))
