@@ -4,12 +4,14 @@ Disguises are taken back first.  A suspicious token (letters mixed with digits o
 symbols, single letters set apart, a letter three or more times in a row) is a
 lattice: every character may stand for itself, for the letters it imitates, or for
 nothing, repeated letters may stand for fewer, and separators may vanish.
-Viterbi decoding under a character trigram model picks the likeliest reading.  A token
-without such choices has one path, itself, and is not decoded.
+Viterbi decoding under a character trigram model picks the likeliest reading, over all
+states.  A token without such choices has one path, itself, and is not decoded.
 
 The character model is counted over all documents; its table is bounded by the
-alphabet.  The classifier scores the words of restored text: features are words and
-word beginnings, and the weight of a feature is how often documents that hold it are toxic.
+alphabet, in which all letters outside of Latin-1 are one.  The classifier scores restored text:
+features are words and word beginnings, and the weight of a feature is how often documents
+that hold it are toxic.  A run of three or more letters in a disguised place counts as it stands, too, so
+a reading that joins two words of a compound hides neither.
 Its training rows are a bounded sample, at most ``TRAIN_ROWS`` labelled documents with the smallest hash
 of their id; near copies among them (equal least shingle hash) count once.  Features
 whose precision is under ``PURE`` or has a lower bound under ``SURE`` are left out, so common words,
@@ -19,7 +21,7 @@ Scale: counting, training counts and scoring are map-only passes with small
 combined tables between; features are chosen in Spark, and only those that pass are
 collected: they are bounded by the training rows, as each is in ``LEAST_DOCS`` toxic ones at least.  Long texts are worked on whole.
 
-Cases: a null or empty text gets the base score; missing, null or contradictory labels
+Cases: a null or empty text gets the base score; a null doc_id is not held out; missing, null or contradictory labels
 take no part in training (a document with two different labels is left out); without
 labelled rows every score is the base score; repeated rows are scored alike; an
 empty table gives an empty result.
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.batches import small_batches, smallest_by_hash, text_parts
+from heddle.llm.batches import smallest_by_hash, text_parts
 from heddle.session import cut
 
 TRAIN_ROWS, HELD = 20_000, 500_000
@@ -78,6 +80,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 SIZE = 64  # codes of the alphabet: 0 is a boundary, 1.. the letters, the last any other letter
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 
+SPACES = re.compile(r"(\s+)")
+LONG_RUN = re.compile(r"[^\W\d_]{3,}")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?=[\s.,;:!?]|$)")
 RUNS = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
@@ -161,7 +165,7 @@ class CharModel:
                     held = new.get((x, y))
                     if held is None or s > held[0]:
                         new[x, y] = (s, text + piece)
-            states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64])
+            states = new  # pairs of letters that the last choices end in: bounded by the choices, whatever the length
             if step % 64 == 0:
                 same = os.path.commonprefix([text for _, text in states.values()])
                 settled.append(same)
@@ -218,28 +222,38 @@ class Restorer:
             return None
         return core
 
-    def readings(self, text: str, words: set[str]) -> list[str]:
-        """Decoded readings of the disguised places of a lower-case text; ``words`` are its runs of letters."""
-        out = []
-        if TOUCHED.search(text):
-            cores = {self.core(t) for t in set(text.split()) if not t.isalpha()}
-            out += [self.reading(c) for c in cores if c]
-        if RUNS.search(text):
-            out += [self.reading(w) for w in words if RUNS.search(w)]
-        return out + [self.reading(m.group()) for m in SPACED.finditer(text)]
+    def read(self, text: str) -> tuple[str, list[str]]:
+        """The lower-case text with disguised places replaced by their readings, and these places as they were."""
+        low, places = text.lower(), []
+
+        def read_spaced(m: re.Match) -> str:
+            places.append(m.group())
+            return self.reading(m.group())
+
+        low = SPACED.sub(read_spaced, low)
+        touched, runs = TOUCHED.search(low), RUNS.search(low)
+        if not touched and not runs:
+            return low, places
+        new = {}
+        for token in set(low.split()):
+            core = self.core(token) if touched and not token.isalpha() else None
+            if core:
+                new[token] = token.replace(core, self.reading(core))
+                places.append(core)
+            elif runs and RUNS.search(token):
+                new[token] = RUN_WORD.sub(lambda m: self.reading(m.group()), token)
+                places.append(token)
+        return "".join([new.get(t, t) for t in SPACES.split(low)]) if new else low, places
 
     def restore(self, text: str) -> str:
-        """The text with disguised places replaced by their readings."""
-        text = text.lower()
-        text = SPACED.sub(lambda m: self.reading(m.group()), text)
-        return " ".join(t.replace(c, self.reading(c)) if (c := self.core(t)) else RUN_WORD.sub(lambda m: self.reading(m.group()), t) for t in text.split(" "))
+        return self.read(text)[0]
 
 
 def words_of(text: str | None, restorer: Restorer) -> set[str]:
-    low = (text or "").lower()
-    found = set(WORD.findall(low))
-    for reading in restorer.readings(low, found.copy()):
-        found.update(reading.split())
+    restored, places = restorer.read(text or "")
+    found = set(WORD.findall(restored))
+    for place in places:
+        found.update(LONG_RUN.findall(place))
     return found
 
 
@@ -344,7 +358,7 @@ def scores(docs: DataFrame, weights: dict[str, float], counts: np.ndarray, carry
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    counts = count_characters(small_batches(docs))
+    counts = count_characters(docs)
     return train(docs, labels, counts), counts
 
 
@@ -353,7 +367,7 @@ def op10_toxicity(spark, sf_dir):
 
     docs = load(spark, sf_dir, "documents")
     weights, counts = fit(docs, load(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return scores(docs, weights, counts).select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
     )

@@ -1,6 +1,7 @@
 """Operators over documents against brute force, and their odd cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -224,6 +225,30 @@ def test_packing(spark, odd):
     assert len(by) <= -(-sum(r["length"] for r in got) // 1024) + 1
 
 
+def test_several_packers_and_a_bound_that_binds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES", 700)
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 1025, 3000).tolist()
+    found = spark.createDataFrame([(int(k % 5), 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECE_SCHEMA)
+    got = packing.pack(found, 1024, 40).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths) and len({r["sequence_id"] >> 32 for r in got}) == 5
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(spans[-1]) <= 1024
+    assert len(by) <= 1.06 * sum(lengths) / 1024
+    assert sorted(got) == sorted(packing.pack(found, 1024, 40).collect())
+
+
+def test_the_fullest_bin_closes_at_the_real_bound():
+    bins = packing.Bins(1024, packing.OPEN_BINS)
+    lengths = [600 + k % 300 for k in range(packing.OPEN_BINS + 50)]  # no two fit together
+    assert [bins.place(n)[0] for n in lengths] == list(range(len(lengths)))
+    assert bins.open == packing.OPEN_BINS and bins.made == packing.OPEN_BINS + 50
+
+
 @pytest.mark.parametrize("open_bins", [1, 3, 1000])
 def test_bins_against_a_plain_search(open_bins):
     rng = np.random.default_rng(open_bins)
@@ -258,6 +283,18 @@ def test_token_files(spark, odd, tmp_path):
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
 
 
+def test_several_shards(spark, odd, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_DOCS", 2)
+    test_token_files(spark, odd, None)
+
+
+def test_dictionary_leaves_out_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE_BYTES", 1000)
+    docs = spark.createDataFrame([(1, "word " * 5000)] + [(k, f"short text {k}") for k in range(2, 60)], "doc_id long, text string")
+    path = tokens.vocabulary("word_bpe_49k.json")
+    assert 0 < len(token_files.sample_dictionary(docs, path, 1, "<u2")) <= 60 * 1000
+
+
 def test_shard_access_by_place(tmp_path):
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 500, n).astype("<u2") for n in rng.integers(1, 200, 300)]
@@ -320,6 +357,12 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert base == [] and [(k, text[a:b]) for k, a, b in more] == [(kind, source)]
 
 
+def test_many_spans_and_repeated_ats_are_linear():
+    base, more = pii.find("a@b.co " * 30_000 + "jane (at) example (dot) org")
+    assert len(base) == 30_000 and [k for k, _, _ in more] == ["email"]
+    assert pii.find("(at) a" + "-at" * 60_000) == ([], [])
+
+
 def test_long_runs_are_read_once():
     text = "(dot) " + " " * 200_000 + "a" * 200_000 + "(" * 20_000 + "1" * 100_000 + "+1" + " " * 100_000 + "two three four five six"
     assert pii.find(text) == ([], [])
@@ -357,7 +400,41 @@ def test_character_counts_and_restoring():
     for shown, meant in {"1d1ot": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "idiiiiot": "idiot", "l0$er": "loser", "cl0wn": "clown"}.items():
         assert restorer.reading(shown) == meant
         assert restorer.restore(f"the {shown}, and") == f"the {meant}, and"
-    assert restorer.readings("the people were here.", {"the", "people", "were", "here"}) == []
+    assert restorer.read("the people\twere  here.") == ("the people\twere  here.", [])
+    assert toxicity.words_of("A stupid-looking m0r0n", restorer) >= {"a", "stupid", "looking", "moron"}
+
+
+def test_viterbi_equals_enumeration():
+    """The best of all readings of small lattices, by their probabilities added up one by one."""
+    texts = ["the idiot and the moron were here with a worthless loser", "a clown is a stale silly oaf"] * 3
+    model = toxicity.CharModel(toxicity.trigram_counts(texts, toxicity.code_table()))
+    rng = np.random.default_rng(5)
+
+    def score(reading):
+        codes = [0, 0, *(toxicity.CODE.get(c, 0 if not c.isalpha() else toxicity.SIZE - 1) for c in reading), 0]
+        return sum(model.log[(a * toxicity.SIZE + b) * toxicity.SIZE + c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    for _ in range(150):
+        token = "".join(rng.choice(list("aiotsl0134@$!*.-é"), rng.integers(2, 7)))
+        choices = toxicity.lattice(token)
+        every = {}
+        for path in itertools.product(*choices):
+            reading, cost = "".join(p for p, _ in path), sum(c for _, c in path)
+            every[reading] = max(every.get(reading, -1e9), score(reading) - cost)
+        got = model.decode(choices)
+        best = max(every.values())
+        assert any(r.strip() == got and s >= best - 1e-9 for r, s in every.items()), token
+
+
+def test_scores_are_the_noisy_or_of_features(spark):
+    restorer = toxicity.Restorer(toxicity.CharModel(toxicity.trigram_counts(["the idiot and the moron"] * 5, toxicity.code_table())))
+    weights = {"idiot ": 0.9, "moro": 0.8, "moron": 0.7, "the ": 0.5}
+    docs = [(1, "the 1d1ot"), (2, "MORONS, the lot"), (3, "nothing"), (4, None)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(spark.createDataFrame(docs, "doc_id long, text string"), weights, toxicity.trigram_counts(["the idiot and the moron"] * 5, toxicity.code_table())).collect()}
+    for i, t in docs:
+        words = set(re.findall(r"[^\W\d_]+", restorer.restore(t or "")))
+        found = [w for f, w in weights.items() if (f[:-1] in words if f.endswith(" ") else any(x.startswith(f) for x in words))]
+        assert got[i] == pytest.approx(1 - (1 - toxicity.BASE) * np.prod([1 - w for w in found]))
 
 
 def test_toxicity_held_out(spark, save, documents):
