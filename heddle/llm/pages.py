@@ -4,19 +4,19 @@ A page becomes blocks of text in page order, each with the place it has in the p
 structure: inside an article, inside another main container, outside of both, or in chrome (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments).  Chrome goes.
 
-What stands in an article element is kept as it is.  The suffix array works on the rest: the
-token streams of a host's pages, without their articles, are concatenated, suffixes are sorted by
-prefix doubling up to ``LONG`` tokens, and a class of equal prefixes that occurs
-on at least ``SHARE`` of the pages, and on two, is boilerplate.  A page without an article
-keeps its blocks outside of chrome unless they are covered by boilerplate.
-
-An article is not put to this test: copies of an article, and passages that many pages
-share, are article text too, and repeats alone cannot tell them from boilerplate.  Pages with
-equal streams count as one page for the same reason.
+The suffix array decides on the other blocks, of articles and of the rest: the token streams of a
+host's pages are concatenated, suffixes are sorted by prefix doubling up to ``LONG`` tokens, and a
+class of equal prefixes that occurs on enough pages, and on ``LEAST``, is boilerplate.  Enough is
+``SHARE`` of the pages outside of articles and ``ARTICLE_SHARE`` inside: copies of an article, and passages
+that many pages share, are article text too, and only what most articles of a host have in common is not.
+Articles, and pages, that are equal count once for the same reason.  Runs of ``LONG`` tokens or
+more that boilerplate covers go, unique runs stay; a block covered to ``COVERED`` goes as a whole.  A page with an article
+element keeps its article's blocks, one with a main element that element's, others all blocks outside of chrome.
 
 Scale: one parse, one shuffle by (host, chunk of the host).  A host is cut into chunks of about ``CHUNK``
-pages by a hash, so a host with a third of all pages is many groups, and the share of pages is
-estimated in each.  Memory of a task is one chunk.
+pages by a hash, so a host with a third of all pages is many groups; a share of pages is taken
+in each chunk, as an estimate of the host's, so a class near the threshold may be boilerplate in one chunk and not in
+another.  Memory of a task is one chunk.  Parsing is linear in the page.
 
 Cases: a null html is an empty page, a null url a host of its own; a page without text gives an
 empty string; repeated rows are separate pages; truncated and unclosed markup is read as far as
@@ -28,6 +28,7 @@ from __future__ import annotations
 import html as html_module
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.batches import small_batches
 from heddle.session import shared_dir
 
-LONG, SHARE, COVERED, CHUNK = 8, 0.1, 0.9, 512
+LONG, SHARE, ARTICLE_SHARE, LEAST, COVERED, CHUNK = 8, 0.1, 0.5, 3, 0.9, 512
 
-TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|(?P<loose>[^>]*)(?:>|\Z))",
-    re.S,
-)
+COMMENT, CDATA = r"<!--(?:.*?-->|.*\Z)", r"|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
+ELEMENT = r"|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|(?P<loose>[^>]*)(?:>|\Z))"
+TAG, TAG_AFTER_CDATA = re.compile(COMMENT + CDATA + ELEMENT, re.S), re.compile(COMMENT + ELEMENT, re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TOKEN = re.compile(r"[a-z0-9]+")
 ASIDE_NOTE = re.compile(r"\b(?:has|with|no|without)[-_]\w+")  # "with-sidebar" is not a sidebar
@@ -98,7 +96,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, tuple[int, int]]] = []
+    opened: Counter[str] = Counter()
     now, unseen, at = (OUTSIDE, 0), None, 0
+    last_cdata = page.rfind("]]>")
 
     def flush() -> None:
         if held:
@@ -109,20 +109,21 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
     def pop(to: int) -> None:
         nonlocal now
+        opened.subtract([name for name, _ in stack[to:]])
         del stack[to:]
         now = stack[-1][1] if stack else (OUTSIDE, 0)
 
     size = len(page)
     while at < size:
-        m = TAG.search(page, at)
+        m = (TAG if at < last_cdata else TAG_AFTER_CDATA).search(page, at)  # no end is looked for in vain
         if unseen is None and (end := m.start() if m else size) > at:
             text = page[at:end]
             held.append(html_module.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
-        if m["cdata"] is not None and unseen is None:
-            held.append(m["cdata"])
+        if "cdata" in (found := m.groupdict()) and found["cdata"] is not None and unseen is None:
+            held.append(found["cdata"])
         name = m["name"]
         if name is None:
             continue
@@ -135,7 +136,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if m["close"]:
             if name not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
                     flush() if stack[k][1] != now or name not in INLINE else None
                     pop(k)
@@ -161,6 +162,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if attrs and (inner := standing(name, attrs, now)) != now:
                 flush()
                 stack.append((name, inner))
+                opened[name] += 1
                 now = inner
             continue
         flush()
@@ -168,6 +170,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             pop(len(stack) - 1)
         now = standing(name, attrs, now)
         stack.append((name, now))
+        opened[name] += 1
     flush()
     return out
 
@@ -184,10 +187,10 @@ def prefix_classes(tokens: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def boilerplate(streams: list[list[list[str]]], length: int = LONG, share: float = SHARE) -> list[np.ndarray]:
-    """For each page, flags over the tokens of its segments, one after another: whether a repeat covers them.
+def boilerplate(streams: list[list[list[str]]], share: float, length: int = LONG) -> list[np.ndarray]:
+    """For each page, flags over the tokens of its segments, one after another: whether boilerplate covers them.
 
-    A segment is a run of tokens without an article in between; no repeat goes across segments.
+    A segment is a run of tokens of one kind of block; no repeat goes across segments.
     """
     words: dict[str, int] = {}
     pages: dict[str, int] = {}
@@ -211,7 +214,7 @@ def boilerplate(streams: list[list[list[str]]], length: int = LONG, share: float
     new_class = np.concatenate([[True], r[1:] != r[:-1]])
     new_pair = new_class | np.concatenate([[True], p[1:] != p[:-1]])
     on_pages = np.bincount(np.cumsum(new_class) - 1, weights=new_pair)
-    least = max(2, int(np.ceil(share * len(pages))))
+    least = max(LEAST, int(np.ceil(share * sum(page != "" for page in pages))))
     starts = order[on_pages[np.cumsum(new_class) - 1] >= least]
     edges = np.zeros(len(tokens) + length + 1, dtype=np.int64)
     np.add.at(edges, starts, 1)
@@ -220,29 +223,44 @@ def boilerplate(streams: list[list[list[str]]], length: int = LONG, share: float
     return [covered[a:b][~breaks[a:b]] for a, b in spans]
 
 
+def unique_runs(text: str, words: list[str], gone: np.ndarray) -> str:
+    """The block without its covered runs of LONG tokens or more; shorter ones begin or end in another block."""
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    long = [(a, b) for a, b in edges.tolist() if b - a >= LONG]
+    if not long:
+        return text
+    starts, ends = [0, *(b for _, b in long)], [*(a for a, _ in long), len(words)]
+    return " ".join(w for a, b in zip(starts, ends) for w in words[a:b])
+
+
 def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int]]:
-    """(main text, tokens outside articles that boilerplate covers) of the pages of one chunk of a host."""
-    streams = []
-    for page in pages:
-        segments: list[list[str]] = [[]]
-        for place, text in page:
-            if place == ARTICLE:
-                segments.append([])
-            else:
-                segments[-1] += text.split()
-        streams.append([s for s in segments if s])
-    flags = boilerplate(streams)
+    """(main text, tokens outside of chrome that boilerplate covers) of the pages of one chunk of a host."""
+    flags = []
+    for inside, share in ((True, ARTICLE_SHARE), (False, SHARE)):
+        streams = []
+        for page in pages:
+            segments: list[list[str]] = [[]]
+            for place, text in page:
+                if place == CHROME or (place == ARTICLE) != inside:
+                    segments.append([])
+                else:
+                    segments[-1] += text.split()
+            streams.append([s for s in segments if s])
+        flags.append(boilerplate(streams, share))
     out = []
-    for page, covered in zip(pages, flags):
+    for page, *covered in zip(pages, *flags):
         places = {place for place, _ in page}
         wanted = ARTICLE if ARTICLE in places else MAIN if MAIN in places else OUTSIDE
-        kept, at = [], 0
+        kept, at = [], [0, 0]
         for place, text in page:
-            n = 0 if place == ARTICLE else len(text.split())
-            if place == wanted and (place == ARTICLE or not n or covered[at : at + n].mean() < COVERED):
-                kept.append(text)
-            at += n
-        out.append(("\n\n".join(kept), int(covered.sum())))
+            if place == CHROME:
+                continue
+            k, words = int(place != ARTICLE), text.split()
+            gone = covered[k][at[k] : at[k] + len(words)]
+            at[k] += len(words)
+            if place == wanted and (not gone.any() or gone.mean() < COVERED):
+                kept.append(unique_runs(text, words, gone))
+        out.append(("\n\n".join(kept), int(sum(c.sum() for c in covered))))
     return out
 
 
@@ -250,7 +268,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to page_id, url, text, n_chars, n_boilerplate."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    spark = small_batches(pages).sparkSession
+    spark = pages.sparkSession
     sizes = pages.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("chunks > 1").select(F.col("host").alias("h_host"), "chunks")
     folder = f"{shared_dir(spark).rstrip('/')}/hosts-{uuid.uuid4().hex}"
     sizes.write.parquet(folder)  # as a table its size is known, so Spark broadcasts it only below its threshold
@@ -282,13 +300,13 @@ def extract(pages: DataFrame) -> DataFrame:
     return dealt.select("page_id", "url", "chunk", "places", "texts").groupBy("chunk").applyInArrow(finish, "page_id long, url string, text string, n_chars long, n_boilerplate long")
 
 
-# The tables' pages have one structure, which SQL can follow: an article of h1 and p elements.
+# The tables' pages have one structure, which SQL can follow: an article of h1 and p elements.  A reference may lack its semicolon.
 OP4_SQL = r"""
 WITH articles AS (
   SELECT page_id, url, regexp_replace(regexp_replace(split_part(split_part(coalesce(html, ''), '<article>', 2), '</article>', 1), '<br>', ' ', 'g'), '</?b>', '', 'g') AS body FROM pages),
 parts AS (
   SELECT page_id, url, list_transform(string_split_regex(body, '</?(p|h1)>'), lambda x: trim(regexp_replace(
-    replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS found
+    regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS found
   FROM articles)
 SELECT page_id, url, text, length(text) AS n_chars
 FROM (SELECT page_id, url, array_to_string(list_filter(found, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM parts)

@@ -178,6 +178,36 @@ def test_repeats_across_pages_of_a_host():
     assert {t for t, _ in pages.main_texts(article)} == {"The same long article text stands on each of these pages as it is"}
 
 
+def texts_of(made):
+    return [t for t, _ in pages.main_texts([pages.blocks(h) for h in made])]
+
+
+def test_the_array_decides_on_pages_without_names_or_articles(monkeypatch):
+    """Template text that no element or name gives away: in blocks of its own, and before text in one block."""
+    line = "All the news that a reader of this fine place may ever want to read"
+    own = [f"{chr(65 + i)}{i} tells of {i * 7} things that are {i * 13} times as good as others in year {1900 + i}" for i in range(8)]
+    made = [f"<body><div>{line}</div><div>{line} {t}</div><p>{t} and more of {i}</p></body>" for i, t in enumerate(own)]
+    want = [f"{t}\n\n{t} and more of {i}" for i, t in enumerate(own)]
+    assert texts_of(made) == want
+    monkeypatch.setattr(pages, "boilerplate", lambda streams, share: [np.zeros(sum(map(len, s)), dtype=bool) for s in streams])
+    assert texts_of(made) != want
+
+
+def test_the_array_decides_inside_articles():
+    promo = "Read this and many other stories in our app which you can get for nothing"
+    passage = "a passage of some length that a third of the articles quote word for word in their text"
+    own = [f"Story {i} has {i * 7} heroes in {i * 11} towns and ends in year {1900 + i}" + (f" with {passage}" if i % 3 == 0 else "") for i in range(9)]
+    made = [f"<body><article><p>{t}</p><p>{promo}</p></article></body>" for t in own]
+    assert texts_of(made) == own
+    assert texts_of(made[:2]) == [f"{t}\n\n{promo}" for t in own[:2]]  # two pages prove nothing
+    assert texts_of([made[0]] * 9) == [f"{own[0]}\n\n{promo}"] * 9  # nor do copies of one
+
+
+def test_parsing_is_linear():
+    assert pages.blocks("<![CDATA[a" * 30_000 + "<p>b") != [] and pages.blocks("<div>" * 20_000 + "</p>" * 20_000 + "x") == [(pages.OUTSIDE, "x")]
+    assert pages.main_texts([pages.blocks("<p><![CDATA[a b]]> c</p>")])[0][0] == "a b c"
+
+
 def test_prefix_classes_are_equal_for_equal_prefixes():
     rng = np.random.default_rng(0)
     tokens = rng.integers(0, 3, 200)
