@@ -1,4 +1,7 @@
-"""Arrow batches in smaller parts, so that a worker holds little text at a time."""
+"""Arrow batches in smaller parts, so that a worker holds little text at a time.
+
+Spark bounds a batch by rows and bytes (spark.sql.execution.arrow.maxBytesPerBatch); the session's settings stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -11,21 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-ROWS = 1000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Has the session send at most ROWS rows at a time to Python: the rows here are whole texts.
-
-    A lower setting stays.
-    """
-    conf = df.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ROWS:
-        conf.set(name, str(ROWS))
-    return df
-
-
 def smallest_by_hash(df: DataFrame, columns: list[str], n: int, total: int) -> DataFrame:
     """At most n of ``total`` rows, those with the smallest hash of ``columns``.
 
