@@ -8,6 +8,7 @@ that stand at it.  Rows that halt leave the active set.  Assemblers turn text in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -182,13 +183,23 @@ def run_word(memory: np.ndarray) -> np.ndarray:
 
 
 def machine_column(program: bytes, run: Callable[[np.ndarray], np.ndarray]):
-    """A column function of (x, y): the program's answer for inputs in cells 1 and 2."""
+    """A column function of (x, y): the program's answer for inputs in cells 1 and 2; null if one is null."""
 
     @F.pandas_udf(T.IntegerType())
     def answer(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(run(memory_of(program, [x.to_numpy(), y.to_numpy()])).astype("int32"))
 
-    return answer
+    return where_given(answer)
+
+
+def where_given(answer: Callable) -> Callable:
+    """The column function with null where an argument is null; the machine runs on zeros there."""
+
+    def column(*inputs):
+        given = reduce(lambda a, b: a & b, [x.isNotNull() for x in inputs])
+        return F.when(given, answer(*[F.coalesce(x, F.lit(0)).cast("long") for x in inputs]))
+
+    return column
 
 
 def word_column(program: bytes, inputs: tuple[int, ...], output: int):
@@ -203,4 +214,4 @@ def word_column(program: bytes, inputs: tuple[int, ...], output: int):
         run_word(memory)
         return pd.Series((memory[:, output] + (memory[:, output + 1] << 8)).astype("int32"))
 
-    return answer
+    return where_given(answer)
