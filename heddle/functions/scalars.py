@@ -49,25 +49,43 @@ def detab(text: Column, stop: int = 8) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
 
 
-@F.pandas_udf(T.StringType())
-def entab(texts: pd.Series) -> pd.Series:
-    """Blanks before each tab stop of 8 as tabs; a single blank stays; nulls stay null."""
+def entab(text: Column, stop: int = 8) -> Column:
+    """Blanks before each tab stop as tabs; a single blank stays; nulls stay null."""
 
-    def line(x: str) -> str:
-        x = x.expandtabs(8)
-        cells = [x[i : i + 8] for i in range(0, len(x), 8)]
-        out = [c.rstrip(" ") + "\t" if len(c) == 8 and c.endswith("  ") else c for c in cells]
-        return "".join(out)
+    def line(x: Column) -> Column:
+        cells = F.regexp_extract_all(x, F.lit(f"(?s)(.{{{stop}}}|.+)"), F.lit(1))
+        return F.array_join(F.transform(cells, lambda c: F.when((F.length(c) == stop) & c.endswith("  "), F.concat(F.rtrim(c), F.lit("\t"))).otherwise(c)), "")
 
-    return texts.map(lambda t: None if t is None else "\n".join(map(line, t.split("\n"))))
+    return F.array_join(F.transform(F.split(detab(text, stop), "\n"), line), "\n")
 
 
 @F.pandas_udf(T.LongType())
-def float_bits(values: pd.Series) -> pd.Series:
-    """The IEEE-754 bits of a double as a long."""
+def _bits(values: pd.Series) -> pd.Series:
     return pd.Series(values.to_numpy(dtype=np.float64).view(np.int64))
 
 
+def float_bits(value: Column) -> Column:
+    """The IEEE-754 bits of a double as a long; null for null."""
+    return F.when(value.isNotNull(), _bits(value))
+
+
+def least_value(bits: int) -> int:
+    """The least number of two's complement in ``bits`` bits."""
+    return -(1 << (bits - 1))
+
+
+def checked_add(a: Column, b: Column) -> Column:
+    """The sum in the columns' own type, null where it does not fit."""
+    return F.try_add(a, b)
+
+
+def fibonacci(n: Column) -> Column:
+    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
+    step = lambda acc, _: F.struct(acc["b"].alias("a"), (acc["a"] + acc["b"]).alias("b"))
+    steps = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, start, step, lambda acc: acc["a"])
+
+
 def area(kind: Column, a: Column, b: Column) -> Column:
     return F.when(kind == "rect", a * b).otherwise(F.pi() * a * a)
 

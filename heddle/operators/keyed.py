@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.names import fresh
+
 
 def upsert(log: DataFrame, key: str, sequence: str) -> DataFrame:
     """Last write per key wins; ``inserted_at`` is the sequence number of the write that was new.
@@ -31,6 +33,13 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys, key, "left_anti")
 
 
+def delete_flags(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Every key to delete, once, with ``existed``: whether the table had it."""
+    (there,) = fresh(["there"], table, keys)
+    known = table.select(key).distinct().withColumn(there, F.lit(True))
+    return keys.select(key).distinct().join(known, key, "left").select(key, F.coalesce(there, F.lit(False)).alias("existed"))
+
+
 def get(table: DataFrame, key: str, value) -> DataFrame:
     return table.filter(F.col(key) == F.lit(value))
 
@@ -45,20 +54,23 @@ def asof(probes: DataFrame, keys: DataFrame, probe: str, key: str, backward: boo
 
     Probes and keys are merged in order within ranges that the keys are cut into, and what a range
     lacks on its open side comes from the nearest non-empty range, so no task sorts all rows.
+    A probe whose value is null stays, without a match; null keys match nothing.
     ``width`` maps a value to the number of its range and must grow with it; without it there is one range.
     """
     cell = (lambda c: F.lit(0)) if width is None else width
-    both = probes.select(*probes.columns, F.col(probe).alias("_at"), F.lit(None).cast(dict(keys.dtypes)[key]).alias("_key"))
-    both = both.unionByName(keys.select(F.col(key).alias("_at"), F.col(key).alias("_key")).distinct(), allowMissingColumns=True)
-    both = both.withColumn("_cell", cell(F.col("_at")))
+    at, own, where, edge, e_where, outside, inside = fresh(["at_", "key_", "cell_", "edge_", "edge_cell_", "outside_", "inside_"], probes)
+    both = probes.select(*probes.columns, F.col(probe).alias(at), F.lit(None).cast(dict(keys.dtypes)[key]).alias(own))
+    known = keys.filter(F.col(key).isNotNull()).select(F.col(key).alias(at), F.col(key).alias(own)).distinct()
+    both = both.unionByName(known, allowMissingColumns=True).withColumn(where, cell(F.col(at)))
     best = F.max if backward else F.min
-    edge = both.groupBy("_cell").agg(best("_key").alias("_edge"))
-    around = Window.orderBy("_cell" if backward else F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.select(F.col("_cell").alias("_e_cell"), F.last("_edge", ignorenulls=True).over(around).alias("_outside"))
-    order = [F.col("_at").asc() if backward else F.col("_at").desc(), F.col("_key").asc_nulls_last()]
-    inside = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = both.withColumn("_inside", F.last("_key", ignorenulls=True).over(inside)).join(edge, F.col("_cell") == F.col("_e_cell"))
-    return merged.filter("_key IS NULL").select(*probes.columns, F.coalesce("_inside", "_outside").alias("match"))
+    edges = both.groupBy(where).agg(best(own).alias(edge))
+    around = Window.orderBy(where if backward else F.col(where).desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    edges = edges.select(F.col(where).alias(e_where), F.last(edge, ignorenulls=True).over(around).alias(outside))
+    order = [F.col(at).asc() if backward else F.col(at).desc(), F.col(own).asc_nulls_last()]
+    within = Window.partitionBy(where).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = both.withColumn(inside, F.last(own, ignorenulls=True).over(within)).join(edges, F.col(where).eqNullSafe(F.col(e_where)))
+    found = F.when(F.col(at).isNotNull(), F.coalesce(inside, outside))
+    return merged.filter(F.col(own).isNull()).select(*probes.columns, found.alias("match"))
 
 
 def compare(a: Column, b: Column) -> Column:

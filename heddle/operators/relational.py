@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.names import fresh
+
 
 def project(df: DataFrame, positions: Sequence[int], names: Sequence[str]) -> DataFrame:
     """Positional projection with reorder and duplicates; each output gets a name of its own."""
@@ -36,8 +38,9 @@ def shuffled(df: DataFrame, key: str, seed: str, place: str) -> DataFrame:
 
     Places are counts of the hash prefixes before a row's own, plus a row number within it.
     """
-    rows = df.withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))).withColumn("_g", F.substring("_h", 1, 3))
-    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    groups = rows.groupBy("_g").agg(F.count("*").alias("_n")).select(F.col("_g").alias("_gg"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_g").orderBy("_h", key))
-    return rows.withColumn("_at", inside).join(groups, F.col("_g") == F.col("_gg")).select(*df.columns, (F.col("_before") + F.col("_at")).alias(place))
+    h, g, n, gg, before, at = fresh(["h_", "g_", "n_", "gg_", "before_", "at_"], df)
+    rows = df.withColumn(h, F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))).withColumn(g, F.substring(h, 1, 3))
+    earlier = Window.orderBy(g).rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
+    groups = rows.groupBy(g).agg(F.count("*").alias(n)).select(F.col(g).alias(gg), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(g).orderBy(h, key))
+    return rows.withColumn(at, inside).join(groups, F.col(g) == F.col(gg)).select(*df.columns, (F.col(before) + F.col(at)).alias(place))

@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.names import fresh
+
 # Fixed values of the format.
 ENTRY_BYTES, TARGET_BYTES, BITS_PER_KEY = 8, 4000, 10
 FNV_OFFSET_HIGH, FNV_OFFSET_LOW, FNV_PRIME_LOW = 0xCBF29CE4, 0x84222325, 435
@@ -55,12 +57,22 @@ def block_index(packed: DataFrame, table: str, key: str, size: str) -> DataFrame
     )
 
 
+def block_offsets(index: DataFrame, table: str) -> DataFrame:
+    """The block index with ``offset``: the bytes of the table's blocks before."""
+    before = Window.partitionBy(table).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return index.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long"))
+
+
 def bloom_bits(n: Column, bits_per_key: int = BITS_PER_KEY) -> Column:
     """Bits of a filter for n keys: at least 64, rounded up to whole 64-bit words."""
     bits = F.greatest(n * bits_per_key, F.lit(64))
     return (F.floor((bits + 63) / 64) * 64).cast("long")
 
 
+def bloom_bytes(n: Column, bits_per_key: int = BITS_PER_KEY) -> Column:
+    return (bloom_bits(n, bits_per_key) / 8).cast("long")
+
+
 def bloom_hashes(bits_per_key: int = BITS_PER_KEY) -> int:
     return min(30, max(1, int(bits_per_key * 0.69)))
 
@@ -70,12 +82,12 @@ def fnv1(key: Column) -> Column:
 
     The prime is 2^40 + 435, so a product needs only 64-bit arithmetic on halves.
     """
-    text = F.hex(F.encode(key, "UTF-8"))
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    text = F.decode(F.encode(key, "UTF-8"), "ISO-8859-1")  # a character a byte
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.lit(FNV_OFFSET_HIGH).cast("long").alias("hi"), F.lit(FNV_OFFSET_LOW).cast("long").alias("lo"))
 
     def step(h: Column, at: Column) -> Column:
-        byte = F.conv(F.substring(text, at, F.lit(2)), 16, 10).cast("long")
+        byte = F.ascii(F.substring(text, at, F.lit(1))).cast("long")
         low = h["lo"] * FNV_PRIME_LOW
         high = h["hi"] * FNV_PRIME_LOW + F.shiftright(low, 32) + F.shiftleft(h["lo"], 8)
         return F.struct(high.bitwiseAND(F.lit(LOW32)).alias("hi"), low.bitwiseAND(F.lit(LOW32)).bitwiseXOR(byte).alias("lo"))
@@ -85,8 +97,10 @@ def fnv1(key: Column) -> Column:
 
 def bloom_positions(keys: DataFrame, key: str, bits: Column, hashes: int) -> DataFrame:
     """One row a key and hash number: i and position."""
-    hashed = keys.withColumn("_h", fnv1(F.col(key)))
-    return hashed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).withColumn("position", ((F.col("_h.lo") + F.col("i") * F.col("_h.hi")) % bits).cast("long")).drop("_h")
+    (h,) = fresh(["h_"], keys)
+    hashed = keys.withColumn(h, fnv1(F.col(key)))
+    position = (F.col(f"{h}.lo") + F.col("i") * F.col(f"{h}.hi")) % bits
+    return hashed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).withColumn("position", position.cast("long")).drop(h)
 
 
 def write_sorted(df: DataFrame, key: str, path: str, partitions: int | None = None) -> None:

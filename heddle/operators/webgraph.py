@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.session import cut
 
+COMPACT = 16
 HREF = r"<a\s[^>]*?href=\"([^\"]*)\""
 
 
@@ -48,11 +49,32 @@ def site(url: Column) -> Column:
     return F.regexp_extract(url, r"^(https?://[^/]+)", 1)
 
 
+def same_site(url: Column, page: Column) -> Column:
+    """Whether a URL is on the page's host, whatever the scheme; false for a URL without host."""
+    host = lambda u: F.lower(F.regexp_extract(u, r"^https?://([^/?#]+)", 1))
+    return (host(url) != "") & (host(url) == host(page))
+
+
+def rewritten(link: Column, page: Column, folder: str) -> Column:
+    """What a mirrored page has in place of a link.
+
+    https links stay as they are; links that are no pages, and links to other sites, become absolute; links to
+    the page's own site become local files.  A local link with several fragments has no file: null.
+    """
+    target = absolute(link, page, site(page))
+    fragments = F.length(target) - F.length(F.replace(target, F.lit("#"), F.lit("")))
+    return (
+        F.when(link.startswith("https"), link)
+        .when(~followed(target) | ~same_site(target, page), target)
+        .when(fragments <= 1, mirror_path(target, site(target), folder))
+    )
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes reachable from the roots over (src, dst), with the round each was first seen in.
 
-    The frontier loop: join, distinct, anti-join against what was seen; each
-    round is a checkpoint, so neither plan nor recovery grows with the rounds.
+    The frontier loop: join, distinct, anti-join against what was seen.  Each round's new nodes are a checkpoint, and
+    what was seen is their union, rewritten as one only every ``COMPACT`` rounds, so a round writes what is new.
     """
     edges = cut(edges.select("src", "dst").distinct())
     frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
@@ -61,5 +83,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         depth += 1
         reached = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct()
         frontier = cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut(seen.union(frontier))
+        seen = seen.union(frontier)
+        if depth % COMPACT == 0:
+            seen = cut(seen)
     return seen

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heddle.functions import linalg, machines, scalars
 from heddle.operators import bitmaps, keyed, relational, sortedtable, webgraph
 from heddle.session import shared_dir, shared_uri
-from heddle.sources import mirror
+from heddle.sources import mirror, text
 from heddle.sources.tables import load
 
 QUERIES: dict = {}
@@ -49,14 +49,26 @@ def scan_table(spark, sf_dir):
     return load(spark, sf_dir, "nation")
 
 
-LITERAL = "SELECT * FROM (VALUES ('1', 'First', 'a|b'), ('10', 'Tenth', 'b'), ('9', 'Ninth', 'c')) AS t(id, title, kinds)"
-query("scan_literal", LITERAL)(lambda spark, sf_dir: spark.sql(LITERAL))
+KINDS = ("calm", "dark", "fast", "loud", "odd")
+LITERAL = """SELECT CAST(n AS VARCHAR) AS id, 'Item ' || (n * 7) % 298 || ' of ' || n AS title,
+  list_reduce(list_transform(range(1 + n % 3), lambda i: ['calm', 'dark', 'fast', 'loud', 'odd'][1 + (n + 2 * i) % 5]), lambda a, b: a || '|' || b) AS kinds
+  FROM (SELECT range AS n FROM range(1, 299))"""
+
+
+def literal_rows():
+    """298 records with a string id, a title and one to three kinds in one column."""
+    return [(str(n), f"Item {n * 7 % 298} of {n}", "|".join(KINDS[(n + 2 * i) % 5] for i in range(1 + n % 3))) for n in range(1, 299)]
+
+
+@query("scan_literal", LITERAL)
+def scan_literal(spark, sf_dir):
+    return text.literal(spark, literal_rows(), "id string, title string, kinds string")
 
 
 @query("explode_kinds", "SELECT id, unnest(string_split(kinds, '|')) AS kind FROM (" + LITERAL + ")")
 def explode_kinds(spark, sf_dir):
     """The packed multi-valued column as rows."""
-    return spark.sql(LITERAL).select("id", F.explode(F.split("kinds", r"\|")).alias("kind"))
+    return scan_literal(spark, sf_dir).select("id", F.explode(F.split("kinds", r"\|")).alias("kind"))
 
 
 @query("shuffle_order", "SELECT c_custkey, row_number() OVER (ORDER BY md5('shuffle:' || c_custkey), c_custkey) AS place FROM customer")
@@ -105,13 +117,21 @@ def oc_get(spark, sf_dir):
     return keyed.get(load(spark, sf_dir, "customer"), "c_name", "Customer#000000042").select("c_name", "c_mktsegment")
 
 
-@query("oc_delete", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("oc_delete", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)")
 def oc_delete(spark, sf_dir):
+    """Customers without those who placed an order with a key divisible by three."""
     customers = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    gone = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    gone = load(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return keyed.delete(customers, gone, "c_custkey")
 
 
+@query("oc_delete_flags", "SELECT DISTINCT 2 * o_custkey AS c_custkey, EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = 2 * o_custkey) AS existed FROM orders")
+def oc_delete_flags(spark, sf_dir):
+    """Requests to delete twice the key of each customer with orders, half of which no customer has."""
+    gone = load(spark, sf_dir, "orders").select((2 * F.col("o_custkey")).alias("c_custkey"))
+    return keyed.delete_flags(load(spark, sf_dir, "customer"), gone, "c_custkey")
+
+
 @query("oc_range_scan", "SELECT c_name, c_mktsegment FROM customer WHERE c_name BETWEEN 'Customer#000000100' AND 'Customer#000000200' ORDER BY c_name")
 def oc_range_scan(spark, sf_dir):
     return keyed.range_scan(load(spark, sf_dir, "customer").select("c_name", "c_mktsegment"), "c_name", "Customer#000000100", "Customer#000000200")
@@ -145,9 +165,10 @@ def probe_semi(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("probe_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("probe_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderkey % 5 = 0)")
 def probe_anti(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select("c_custkey").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    some = load(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND o_orderkey % 5 = 0")
+    return load(spark, sf_dir, "customer").select("c_custkey").join(some, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 def _asof(spark, sf_dir, backward):
@@ -156,6 +177,13 @@ def _asof(spark, sf_dir, backward):
     return keyed.asof(probes, keys, "ts", "o_orderdate", backward, lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")))
 
 
+@query("asof_nulls", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN ts END AS at, (SELECT max(o_orderdate) FROM orders WHERE o_orderdate <= CASE WHEN event_id % 3 > 0 THEN ts END) AS match FROM events")
+def asof_nulls(spark, sf_dir):
+    """Every third probe without a value: kept, without a match."""
+    probes = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("at"))
+    return keyed.asof(probes, load(spark, sf_dir, "orders").select("o_orderdate"), "at", "o_orderdate", True, lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")))
+
+
 query("asof_floor", "SELECT event_id, ts, (SELECT max(o_orderdate) FROM orders WHERE o_orderdate <= ts) AS match FROM events")(lambda s, d: _asof(s, d, True))
 query("asof_ceiling", "SELECT event_id, ts, (SELECT min(o_orderdate) FROM orders WHERE o_orderdate >= ts) AS match FROM events")(lambda s, d: _asof(s, d, False))
 
@@ -196,6 +224,12 @@ def sstable_block_index(spark, sf_dir):
     return sortedtable.block_index(sstable_block_packing(spark, sf_dir), "tbl", "k", "size").select("tbl", "block", "start_key", "end_key")
 
 
+@query("sstable_block_offsets", FOLD + "SELECT tbl, block, max(k) AS end_key, CAST(coalesce(sum(sum(size)) OVER (PARTITION BY tbl ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM fold GROUP BY tbl, block")
+def sstable_block_offsets(spark, sf_dir):
+    index = sortedtable.block_index(sstable_block_packing(spark, sf_dir), "tbl", "k", "size")
+    return sortedtable.block_offsets(index, "tbl").select("tbl", "block", "end_key", "offset")
+
+
 def sorted_customers(spark, sf_dir):
     path = scratch(spark, "sorted-customer")
     sortedtable.write_sorted(load(spark, sf_dir, "customer"), "c_name", path)
@@ -225,10 +259,10 @@ def sstable_range_scan(spark, sf_dir):
 # Bloom filters
 
 
-@query("bloom_params", "SELECT o_custkey, ((greatest(count(*) * 10, 64) + 63) // 64) * 64 AS n_bits, 6 AS n_hashes FROM orders GROUP BY o_custkey")
+@query("bloom_params", "SELECT o_custkey, ((greatest(count(*) * 10, 64) + 63) // 64) * 64 AS n_bits, ((greatest(count(*) * 10, 64) + 63) // 64) * 8 AS n_bytes, 6 AS n_hashes FROM orders GROUP BY o_custkey")
 def bloom_params(spark, sf_dir):
     counts = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return counts.select("o_custkey", sortedtable.bloom_bits(F.col("n")).alias("n_bits"), F.lit(sortedtable.bloom_hashes()).alias("n_hashes"))
+    return counts.select("o_custkey", sortedtable.bloom_bits(F.col("n")).alias("n_bits"), sortedtable.bloom_bytes(F.col("n")).alias("n_bytes"), F.lit(sortedtable.bloom_hashes()).alias("n_hashes"))
 
 
 BLOOM_BITS = 1 << 20
@@ -389,10 +423,24 @@ def mirror_path(spark, sf_dir):
     return _mirrored(load(spark, sf_dir, "pages"), "url").select("page_id", "mirror")
 
 
-@query("link_rewrite", f"SELECT page_id, link, {_mirror_sql('target')} AS mirror FROM (SELECT page_id, link, {NORMAL} AS target FROM ({LINKS}))")
+# Every link of a page as it is, and so changed that it leads elsewhere: off-site, to a file, with https, with two fragments.
+VARIED = f"""SELECT page_id, url, unnest([link, 'https://other.example' || link, 'http://other.example' || link, '//other.example' || link, link || '.png', link || '#a', link || '#a#b',
+  'http://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || link, 'sub' || link]) AS link FROM ({LINKS})"""
+HOST = "lower(regexp_extract({}, '^https?://([^/?#]+)', 1))"
+
+
+@query("link_rewrite", f"""SELECT page_id, link, CASE WHEN starts_with(link, 'https') THEN link
+  WHEN regexp_extract(target, '(\\.[^./]*)$', 1) <> '' AND NOT contains(regexp_extract(target, '(\\.[^./]*)$', 1), '.html') THEN target
+  WHEN {HOST.format('target')} <> {HOST.format('url')} THEN target
+  WHEN len(string_split(target, '#')) > 2 THEN NULL ELSE {_mirror_sql('target')} END AS mirror
+  FROM (SELECT page_id, url, link, {NORMAL} AS target FROM ({VARIED}))""")
 def link_rewrite(spark, sf_dir):
-    """Each link of each page as a link into the mirror; links without scheme and site depend on their page."""
-    return _mirrored(_absolute(spark, sf_dir), "target").select("page_id", "link", "mirror")
+    """Links of pages as their mirror has them: links into it, kept https links, absolute links to files and other sites."""
+    link, host = F.col("link"), F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    other = [F.concat(F.lit(x), link) for x in ("https://other.example", "http://other.example", "//other.example")]
+    varied = [link, *other, *(F.concat(link, F.lit(x)) for x in (".png", "#a", "#a#b")), F.concat(F.lit("http://"), host, link), F.concat(F.lit("sub"), link)]
+    links = _links(spark, sf_dir).select("page_id", "url", F.explode(F.array(*varied)).alias("link"))
+    return links.select("page_id", "link", webgraph.rewritten(F.col("link"), F.col("url"), "/mirror").alias("mirror"))
 
 
 @query("crawl_frontier", f"SELECT DISTINCT {NORMAL} AS target FROM ({LINKS}) EXCEPT SELECT url FROM pages")
@@ -431,10 +479,15 @@ def matrix_index(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", linalg.element(F.col("embedding"), 16, F.lit(3), F.lit(5)).cast("double").alias("v"))
 
 
-@query("matrix_equal", "SELECT true AS equal")
+@query("matrix_equal", "SELECT 'transposed twice' AS pair, bool_and(embedding = embedding) AS equal FROM embeddings UNION ALL SELECT 'least vector halved', bool_and(CASE WHEN vec_id = (SELECT min(vec_id) FROM embeddings) THEN list_transform(embedding, lambda x: x / 2) ELSE embedding END = embedding) FROM embeddings")
 def matrix_equal(spark, sf_dir):
-    m = linalg.cells(load(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return linalg.equal(m, linalg.transpose(linalg.transpose(m)))
+    """A matrix against itself transposed twice, and against itself with one row changed."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    m = linalg.cells(rows, "vec_id", "embedding")
+    least = rows.agg(F.min("vec_id").alias("least"))
+    changed = rows.join(F.broadcast(least)).select("vec_id", F.when(F.col("vec_id") == F.col("least"), F.transform("embedding", lambda x: x / 2)).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))  # one row
+    pair = lambda name, other: linalg.equal(m, other).select(F.lit(name).alias("pair"), "equal")
+    return pair("transposed twice", linalg.transpose(linalg.transpose(m))).union(pair("least vector halved", linalg.cells(changed, "vec_id", "embedding")))
 
 
 @query("grid_fill", "SELECT a.range AS i, b.range AS j, a.range + b.range AS v FROM range(100) a, range(100) b")
@@ -444,7 +497,11 @@ def grid_fill(spark, sf_dir):
 
 
 FIBONACCI = "WITH RECURSIVE fib(n, a, b) AS (SELECT 0, CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, b, a + b FROM fib WHERE n < 40) SELECT n, a AS value FROM fib"
-query("fibonacci", FIBONACCI)(lambda spark, sf_dir: spark.sql(FIBONACCI))
+
+
+@query("fibonacci", FIBONACCI)
+def fibonacci(spark, sf_dir):
+    return spark.range(41).select(F.col("id").cast("int").alias("n"), scalars.fibonacci(F.col("id")).alias("value"))
 
 
 @query("cone_volume", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_quantity * l_tax * 1.0471975512, 6) AS volume FROM lineitem")
@@ -472,7 +529,23 @@ def vm_word16(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", scalars.wrap(F.col("o_orderkey") * 3 - F.col("o_custkey"), 16).alias("word"))
 
 
-REGISTER_SUM = "load r1 1\nbeqz r1 15\nadd r2 r1\nsubi r1 1\nbeqz r1 2\njump 14\nstore r2 0\nhalt"
+# Counts up in cell 4 and adds the counter to cell 3 until the counter is the input.
+REGISTER_SUM = """
+load r1 1
+beqz r1 29
+load r1 4
+addi r1 1
+store r1 4
+load r2 3
+add r2 r1
+store r2 3
+load r2 1
+sub r2 r1
+beqz r2 2
+jump 14
+load r1 3
+store r1 0
+halt"""
 STACK_SUM = "push 1\nbeqz 14\npush 2\nadd\nstore 2\npushi 1\npush 1\nsub\nstore 1\njump 8\npush 2\nstore 0\nhalt"
 
 
@@ -556,9 +629,10 @@ def utf8_hex(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("bytes"))
 
 
-@query("twos_complement", "SELECT p_partkey, ((~p_partkey) + 1) & 255 AS negated, CASE WHEN p_size + 230 > 255 THEN true ELSE false END AS overflows FROM part")
+@query("twos_complement", "SELECT p_partkey, ((~p_partkey) + 1) & 255 AS negated, CASE WHEN p_size + 230 > 255 THEN true ELSE false END AS overflows, CASE WHEN p_size + 2147483620 <= 2147483647 THEN CAST(p_size + 2147483620 AS INTEGER) END AS checked, -128 AS least FROM part")
 def twos_complement(spark, sf_dir):
-    return load(spark, sf_dir, "part").select("p_partkey", scalars.negate(F.col("p_partkey"), 8).alias("negated"), (F.col("p_size") + 230 > 255).alias("overflows"))
+    return load(spark, sf_dir, "part").select("p_partkey", scalars.negate(F.col("p_partkey"), 8).alias("negated"), (F.col("p_size") + 230 > 255).alias("overflows"),
+        scalars.checked_add(F.col("p_size").cast("int"), F.lit(2147483620)).alias("checked"), F.lit(scalars.least_value(8)).alias("least"))
 
 
 @query("date_weekday", "SELECT o_orderkey, dayname(o_orderdate) AS weekday FROM orders")
@@ -581,9 +655,11 @@ def shape_measures(spark, sf_dir):
     return shapes.select("p_partkey", "kind", F.round(scalars.area(*args), 4).alias("area"), F.round(scalars.perimeter(*args), 4).alias("perimeter"))
 
 
-@query("float_bits")
+@query("float_bits", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN CAST(CAST(CAST(l_extendedprice AS DOUBLE) AS BIT) AS BIGINT) END AS bits FROM lineitem")
 def float_bits(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.float_bits("l_extendedprice").alias("bits"))
+    """The bits of prices, and null for those left out."""
+    price = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice").cast("double"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.float_bits(price).alias("bits"))
 
 
 @query("type_name", "SELECT event_id, 'map<bigint,string>' AS kind FROM events")
@@ -602,12 +678,42 @@ def mirror_files(spark, sf_dir):
     return mirror.write_pages(pages, folder)
 
 
-@query("text_source_limit", "SELECT DISTINCT c_name AS word FROM customer ORDER BY word LIMIT 100")
-def text_source_limit(spark, sf_dir):
-    """A word list in text files, read with a limit on rows."""
+def word_file(spark, sf_dir):
+    """A sorted word list as one text file: the names of the first thousand customers."""
     path = scratch(spark, "words")
-    load(spark, sf_dir, "customer").select("c_name").distinct().write.text(path)
-    return spark.read.text(path).select(F.col("value").alias("word")).orderBy("word").limit(100)
+    R.top(load(spark, sf_dir, "customer").select("c_name").distinct(), ["c_name"], 1000).coalesce(1).write.text(path)
+    return path
+
+
+WORDS = "SELECT DISTINCT c_name AS word FROM customer ORDER BY word LIMIT "
+
+
+@query("text_source_limit", WORDS + "100")
+def text_source_limit(spark, sf_dir):
+    """A word list, read with a limit on rows."""
+    return text.lines(spark, word_file(spark, sf_dir), 100, "word")
+
+
+@query("text_source_all", WORDS + "1000")
+def text_source_all(spark, sf_dir):
+    """The same without a limit."""
+    return text.lines(spark, word_file(spark, sf_dir), 0, "word")
+
+
+@query("text_first_line", WORDS + "1")
+def text_first_line(spark, sf_dir):
+    return text.first_line(spark, word_file(spark, sf_dir), "word")
+
+
+@query("path_exists", "SELECT * FROM (VALUES ('orders.parquet', true), ('nowhere.parquet', false)) AS t(name, found)")
+def path_exists(spark, sf_dir):
+    names = ("orders.parquet", "nowhere.parquet")
+    return text.literal(spark, [(n, text.exists(spark, f"{sf_dir}/{n}")) for n in names], "name string, found boolean")
+
+
+@query("dir_entry_count")
+def dir_entry_count(spark, sf_dir):
+    return dir_listing(spark, sf_dir).agg(F.count("*").alias("entries"))
 
 
 @query("dir_listing")

@@ -1,6 +1,7 @@
 """Known answers, properties and odd cases of the operators."""
 
 import random
+import struct
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import linalg, machines, scalars
 from heddle.operators import bitmaps, keyed, relational, sortedtable, webgraph
+from heddle.sources import text
 
 
 def one(spark, column):
@@ -183,7 +185,11 @@ def test_scalars(spark):
     assert [one(spark, scalars.sum_to_n(F.lit(n))) for n in (0, 1, 5, 10, 23)] == [0, 1, 15, 55, 276 & 255]
     assert one(spark, scalars.negate(F.lit(1), 8)) == 255
     assert [one(spark, scalars.pangram(F.lit(t))) for t in ("The quick brown fox jumps over the lazy dog", "abc", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ@[~é")] == [True, False, False, True]
-    assert spark.createDataFrame([(20.5,), (0.0,)], "x double").select(scalars.float_bits("x").alias("b")).collect()[0]["b"] == 0x4034800000000000
+    values = [20.5, 0.0, -1.25, None, float("nan")]
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "x double").select(scalars.float_bits(F.col("x")).alias("b")).collect()]
+    assert got[3] is None and got[:3] == [struct.unpack("<q", struct.pack("<d", v))[0] for v in values[:3]] and got[4] is not None
+    assert [one(spark, scalars.fibonacci(F.lit(n))) for n in (0, 1, 2, 10, 90)] == [0, 1, 1, 55, 2880067194370816120]
+    assert scalars.least_value(8) == -128 and one(spark, scalars.checked_add(F.lit(2**31 - 1), F.lit(1))) is None
     assert one(spark, scalars.area(F.lit("rect"), F.lit(3.0), F.lit(4.0))) == 12 and round(one(spark, scalars.perimeter(F.lit("circle"), F.lit(5.0), F.lit(0.0))), 6) == round(10 * np.pi, 6)
 
 
@@ -211,42 +217,213 @@ def test_matrices(spark):
 
 # machines
 
-R = machines.REGISTER_OPS
-S = machines.STACK_OPS
 
-
-def run(program, ops, machine, *inputs):
+def register_model(lines, x, y):
+    """A straight program of the register machine, a line at a time; "skip" leaves out the next lines if a register is zero."""
+    cells, reg, at = {1: x, 2: y}, [0, 0, 0], 0
+    while at < len(lines):
+        name, *args = lines[at]
+        at += 1
+        if name == "load":
+            reg[args[0]] = cells.get(args[1], 0)
+        elif name == "store":
+            cells[args[1]] = reg[args[0]]
+        elif name in ("add", "sub"):
+            reg[args[0]] = (reg[args[0]] + (reg[args[1]] if name == "add" else -reg[args[1]])) % 256
+        elif name in ("addi", "subi"):
+            reg[args[0]] = (reg[args[0]] + (args[1] if name == "addi" else -args[1])) % 256
+        elif name == "skip" and reg[args[0]] == 0:
+            at += args[1]
+    return cells.get(0, 0)
+
+
+def random_register_program(rng):
+    lines = []
+    for _ in range(rng.randrange(3, 25)):
+        r, q = rng.choice((1, 2)), rng.choice((1, 2))
+        lines.append(rng.choice([("load", r, rng.randrange(0, 7)), ("store", r, rng.randrange(3, 7)), ("add", r, q), ("sub", r, q), ("addi", r, rng.randrange(256)), ("subi", r, rng.randrange(256)), ("skip", r, rng.randrange(3))]))
+    return [*lines, ("addi", 1, 0), ("addi", 1, 0), ("store", rng.choice((1, 2)), 0)]
+
+
+def register_text(lines):
+    """Straight instructions have three bytes each, so a branch over n of them is n times three."""
+    out = []
+    for name, *args in lines:
+        if name == "skip":
+            out.append(f"beqz r{args[0]} {3 * args[1]}")
+        elif name in ("add", "sub"):
+            out.append(f"{name} r{args[0]} r{args[1]}")
+        else:
+            out.append(f"{name} r{args[0]} {args[1]}")
+    return "\n".join([*out, "halt"])
+
+
+def run(program, ops, machine, inputs):
     memory = machines.memory_of(machines.assemble(program, ops), [np.array([x[k] for x in inputs]) for k in range(2)])
     return machine(memory).tolist()
 
 
-def test_register_machine():
-    assert run("load r1 1\nload r2 2\nadd r2 r1\nstore r2 0\nhalt", R, machines.run_register, (100, 100), (200, 100)) == [200, 44]
-    assert run("load r1 1\nload r2 2\nsub r2 r1\nstore r2 0\nhalt", R, machines.run_register, (7, 9), (9, 7)) == [2, 254]
-    assert run("load r1 2\njump 16\nload r1 1\nstore r1 0\nhalt", R, machines.run_register, (1, 77)) == [77]
-    assert run("load r2 2\nbeqz r2 6\naddi r1 9\nstore r1 0\nhalt", R, machines.run_register, (0, 0), (0, 3)) == [0, 9]
-    assert run("load r1 1\naddi r1 200\nsubi r1 60\nstore r1 0\nhalt", R, machines.run_register, (0, 0), (200, 0)) == [140, 84]
-
-
-def test_stack_machine():
-    assert run("push 2\npush 1\nsub\nstore 0\nhalt", S, machines.run_stack, (9, 7), (7, 9)) == [2, 254]
-    assert run("push 1\njump 14\npushi 9\nstore 0\nhalt", S, machines.run_stack, (42, 0)) == [42]
-    assert run("push 2\nbeqz 2\npushi 7\nstore 0\nhalt", S, machines.run_stack, (1, 0), (1, 5)) == [0, 7]
+def test_register_programs_against_a_model():
+    rng = random.Random(3)
+    for _ in range(150):
+        lines, inputs = random_register_program(rng), [(rng.randrange(256), rng.randrange(256)) for _ in range(6)] + [(0, 0)]
+        assert run(register_text(lines), machines.REGISTER_OPS, machines.run_register, inputs) == [register_model(lines, *x) for x in inputs]
+
+
+def test_register_loop_counts_up():
+    from heddle.plans.catalogue import REGISTER_SUM
+
+    inputs = [(n, 9) for n in (0, 1, 2, 7, 50, 255)]
+    assert run(REGISTER_SUM, machines.REGISTER_OPS, machines.run_register, inputs) == [n * (n + 1) // 2 % 256 for n, _ in inputs]
+
+
+def test_stack_programs_against_a_model():
+    rng = random.Random(4)
+    for _ in range(150):
+        lines, depth = [], 0
+        for _ in range(rng.randrange(2, 25)):
+            name = rng.choice(["push", "pushi"] + ["store", "pop"] * (depth > 0) + ["add", "sub"] * (depth > 1))
+            lines.append((name, rng.randrange(1, 7)) if name in ("push", "store") else (name, rng.randrange(256)) if name == "pushi" else (name,))
+            depth += {"push": 1, "pushi": 1, "store": -1, "pop": -1, "add": -1, "sub": -1}[name]
+        lines += [("pushi", 5), ("store", 0)] if not depth else [("store", 0)]
+        inputs = [(rng.randrange(256), rng.randrange(256)) for _ in range(5)]
+        want = []
+        for x, y in inputs:
+            cells, stack = {1: x, 2: y}, []
+            for name, *args in lines:
+                if name == "push":
+                    stack.append(cells.get(args[0], 0))
+                elif name == "pushi":
+                    stack.append(args[0])
+                elif name == "store":
+                    cells[args[0]] = stack.pop()
+                elif name == "pop":
+                    stack.pop()
+                else:
+                    top, under = stack.pop(), stack.pop()
+                    stack.append((under + top if name == "add" else top - under) % 256)
+            want.append(cells.get(0, 0))
+        text = "\n".join(" ".join(map(str, x)) for x in [*lines, ("halt",)])
+        assert run(text, machines.STACK_OPS, machines.run_stack, inputs) == want
+
+
+def test_machine_errors():
     with pytest.raises(machines.MachineError):
-        run("add\nhalt", S, machines.run_stack, (0, 0))
+        run("pop\nhalt", machines.STACK_OPS, machines.run_stack, [(0, 0)])
     with pytest.raises(machines.MachineError):
-        machines.assemble("nonsense 1", S)
-
-
-def test_word_machine():
-    program = bytes([1, 1, 20, 1, 2, 22, 3, 1, 2, 2, 1, 24, 255, 0, 0])
-    memory = np.zeros((2, 258), dtype=np.int64)
-    memory[:, : len(program)] = np.frombuffer(program, dtype=np.uint8)
-    memory[:, 20:24] = [[0xA1, 0x14, 0x0C, 0x00], [0xFF, 0xFF, 0x02, 0x00]]
-    out = machines.run_word(memory)
-    assert (out[:, 24] + (out[:, 25] << 8)).tolist() == [0x14A1 + 0x0C, 1]
+        machines.assemble("nonsense 1", machines.STACK_OPS)
     with pytest.raises(machines.MachineError):
         machines.run_word(np.full((1, 258), 6, dtype=np.int64))
+    with pytest.raises(machines.MachineError):
+        run("jump 8", machines.REGISTER_OPS, machines.run_register, [(0, 0)])
+
+
+def test_word_programs_against_a_model():
+    rng = random.Random(5)
+    for _ in range(100):
+        code, steps = [], []
+        for _ in range(rng.randrange(2, 20)):
+            kind, r, q, at, n = rng.choice(["load", "store", "add", "addi", "sub"]), rng.choice((1, 2)), rng.choice((1, 2)), rng.randrange(90, 110, 2), rng.randrange(256)
+            steps.append((kind, r, q, at, n))
+            code += {"load": [machines.WORD_LOAD, r, at], "store": [machines.WORD_STORE, r, at], "add": [machines.WORD_ADD, r, q], "addi": [machines.WORD_ADD | 16, r, n], "sub": [machines.WORD_SUB, r, q]}[kind]
+        memory = np.zeros((3, 258), dtype=np.int64)
+        memory[:, : len(code) + 1] = [*code, machines.WORD_HALT]
+        memory[:, 90:112] = [[rng.randrange(256) for _ in range(22)] for _ in range(3)]
+        want = memory[:, 90:112].copy()
+        for row in want:
+            reg = [0, 0, 0]
+            for kind, r, q, at, n in steps:
+                if kind == "load":
+                    reg[r] = int(row[at - 90]) + 256 * int(row[at - 89])
+                elif kind == "store":
+                    row[at - 90], row[at - 89] = reg[r] % 256, reg[r] // 256
+                else:
+                    reg[r] = (reg[r] + (reg[q] if kind == "add" else n if kind == "addi" else -reg[q])) % 65536
+        assert (machines.run_word(memory)[:, 90:112] == want).all()
+
+
+def test_machine_columns_keep_nulls(spark):
+    answer = machines.machine_column(machines.assemble("load r1 1\nstore r1 0\nhalt", machines.REGISTER_OPS), machines.run_register)
+    df = spark.createDataFrame([(5, 1), (None, 1), (6, None)], "x long, y long")
+    assert [r[0] for r in df.select(answer(F.col("x"), F.col("y"))).collect()] == [5, None, None]
+
+
+# nulls, clashing names, links and sources
+
+
+@pytest.mark.parametrize("width", [None, 10])
+@pytest.mark.parametrize("backward", [True, False])
+def test_asof_keeps_null_probes_and_any_column_name(spark, width, backward):
+    probes = spark.createDataFrame([(1, 15, 7), (2, None, 8)], "id long, at_ long, cell_ long")
+    keys = spark.createDataFrame([(10,), (20,), (None,)], "k long")
+    out = keyed.asof(probes, keys, "at_", "k", backward, None if width is None else lambda c: F.floor(c / width))
+    assert out.columns == ["id", "at_", "cell_", "match"]
+    assert {r["id"]: (r["cell_"], r["match"]) for r in out.collect()} == {1: (7, 10 if backward else 20), 2: (8, None)}
+
+
+def test_shuffled_with_its_own_column_names(spark):
+    df = spark.range(50).select("id", F.lit(1).alias("h_"), F.lit(2).alias("at_"))
+    got = relational.shuffled(df, "id", "s", "place").collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 51)) and {(r["h_"], r["at_"]) for r in got} == {(1, 2)}
+
+
+def test_delete_reports_what_was_there(spark):
+    table = spark.createDataFrame([("a", 1), ("c", 2)], "k string, there int")
+    gone = spark.createDataFrame([("a",), ("b",), ("a",)], "k string")
+    assert {r["k"]: r["existed"] for r in keyed.delete_flags(table, gone, "k").collect()} == {"a": True, "b": False}
+
+
+@pytest.mark.parametrize(
+    "link, want",
+    [
+        ("https://s.org/x", "https://s.org/x"),
+        ("/doc/#a", "file:////m/doc/index.html#a"),
+        ("http://S.org/doc", "file:////m/doc/index.html"),
+        ("//s.organic/x", "https://s.organic/x"),
+        ("http://other.org/x", "https://other.org/x"),
+        ("/pic.png", "http://s.org/pic.png"),
+        ("/doc#a#b", None),
+    ],
+)
+def test_links_of_a_mirror(spark, link, want):
+    assert one(spark, webgraph.rewritten(F.lit(link), F.lit("http://s.org/page"), "/m")) == want
+
+
+def test_reachable_over_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(webgraph, "COMPACT", 3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)] + [(3, 0)], "src long, dst long")
+    got = {r["node"]: r["depth"] for r in webgraph.reachable(edges, spark.createDataFrame([(1,)], "node long")).collect()}
+    assert got == {i: i - 1 for i in range(1, 9)} | {0: 3}
+
+
+def test_text_sources(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("b\na\n\nc\n")
+    path = str(tmp_path / "w.txt")
+    assert [r["w"] for r in text.lines(spark, path, 0, "w").collect()] == ["b", "a", "", "c"]
+    assert [r["value"] for r in text.lines(spark, path, 2).collect()] == ["b", "a"] and text.first_line(spark, path).first()["value"] == "b"
+    assert text.exists(spark, path) and not text.exists(spark, f"{path}.not")
+
+
+def test_bloom_filter_is_written_and_used(spark, tmp_path):
+    """Row groups whose value ranges hold a missing key are left out by their Bloom filter alone."""
+    df = spark.createDataFrame([(f"k{i:05d}",) for i in range(0, 20000, 2)], "k string")
+    sortedtable.write_sorted(df, "k", str(tmp_path / "t"), 2)
+    files = [f.read_bytes() for f in (tmp_path / "t").glob("*.parquet")]
+    plain = tmp_path / "plain"
+    df.repartitionByRange(2, "k").sortWithinPartitions("k").write.parquet(str(plain))
+    assert sum(map(len, files)) > sum(len(f.read_bytes()) for f in plain.glob("*.parquet")) + 100_000  # the filters are there
+    read = spark.read.parquet(str(tmp_path / "t")).filter("k = 'k00777'")
+    assert read.collect() == []
+    scan = read._jdf.queryExecution().executedPlan()
+    assert "EqualTo(k,k00777)" in scan.toString()
+
+
+def test_dir_entries(spark, tmp_path):
+    from heddle.plans import catalogue
+
+    for k in range(3):
+        (tmp_path / f"f{k}").write_text("x")
+    assert catalogue.QUERIES["dir_entry_count"](spark, str(tmp_path)).first()["entries"] == 3
 
 
 def test_asof_result_type_is_kept(spark):
