@@ -5,7 +5,7 @@ neighbourhood, small star every smaller one; both keep components and shorten
 paths, so after about log(path length) rounds each node hangs on the least node
 of its component.  A round is two grouped minima (combined before the shuffle)
 and two joins on the node; a node with very many edges is split by AQE.  Every
-round is a checkpoint.
+round is a checkpoint; one grouped count tells whether another is needed.
 """
 
 from __future__ import annotations
@@ -28,13 +28,17 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter("a > b").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether every edge (a, b) hangs a node on a root: no a has two edges, and no b is an a."""
+    end = lambda c, up: F.struct(F.col(c).alias("x"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = edges.select(F.explode(F.array(end("a", 1), end("b", 0))).alias("e"))
+    counts = ends.select("e.*").groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs to (node, root): every node of an edge that is not its component's least, with that least."""
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    seen = None
-    while True:
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    while not settled(edges):
         edges = cut(_star(_star(edges, larger=True), larger=False))
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (state["n"], state["h"]) == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = (state["n"], state["h"])
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -3,14 +3,19 @@
 Texts are linked where the sets of their shingles (A-Z lower-cased, as 64-bit hashes) have a
 Jaccard similarity of ``LEAST``, 4/5, or more; a component is what links reach.
 
-The join is a prefix filter, so it misses no link: with the shingles of every set in one global
-order, two linked sets share one of their first n - ceil(4n/5) + 1, and at the first one that they share
-at least 4/9 of both sizes' sum are left in each.  Rare shingles come first: the order is that of counts in a
-sample, then of hashes.  Any order gives the same links, so the sample only decides the work.
+The SimHash fingerprints of the sets meet in the trie self-join of simhash.py first, with a budget of
+``BUDGET`` bits; what it finds is verified and joins most copies.  One fingerprint of a pair with a similarity
+of 0.8 often differs in more bits, so an exact join follows for the pairs that it does not reach.  That is a
+prefix filter: with the shingles of every set in one global order, two linked sets share one of their first
+n - ceil(4n/5) + 1, and at the first one that they share at least 4/9 of both sizes' sum are left in each.
+Rare shingles come first: the order is that of counts over all documents, in ``BINS`` bins of hashes, then of
+hashes.  Any order gives the same links, so what falls into one bin only decides the work.
 
 Scale: equal sets are one node.  A task sees the members of shared prefix shingles.  In a group of more
 than ``NEAR`` members each first meets the group's first one and its nearest; only members that the
-links found so far do not join are then paired with all others.  Every pair is verified on its texts.
+links found so far do not join are then held against all others.  Texts of a pair meet only if the pair is not
+joined yet and its parity sketches allow a link: where two sets differ in d shingles, their sketches differ
+in at most d bits, so the sketches rule out no link.  Every other pair is verified on its texts.
 
 Cases: texts without words are one node; under five words are one shingle; a null text has no words.
 """
@@ -26,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.batches import small_batches, text_parts
+from heddle.llm import simhash
+from heddle.llm.batches import text_parts
 from heddle.llm.graph import components
 from heddle.session import cut
 
-WIDTH, NEAR, SAMPLE, COMMON, BUCKETS, SEED = 5, 8, 4000, 200_000, 1 << 20, 42
+WIDTH, NEAR, BINS, BUCKETS, SEED = 5, 8, 1 << 21, 1 << 20, 42
+BUDGET, SKETCH = 3, 1024  # differing bits of fingerprints; bits of a parity sketch
 TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -55,45 +62,84 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several documents of a sample, ascending, and how many documents have them."""
-    share = SAMPLE / max(docs.count(), 1)
-    sample = docs.filter(F.xxhash64("d", "th") < F.lit(int(2**64 * share) - 2**63)) if share < 1 else docs
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set: the bits that more than half of its hashes set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(found), 1 << 14):
+        part = found[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """For each of SKETCH bins of hashes, whether it holds an odd number of the set's: bits of SKETCH / 64 longs."""
+    return np.packbits(np.bincount((found >> np.uint64(13)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).view(np.int64)
+
+
+def bins(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(43)).astype(np.int64) % BINS
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """How many documents have the shingles of each bin; a task sends one table of BINS counts, in parts."""
+    part = 1 << 13  # counts of a row
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, dtype=np.uint32)
         for _, texts in text_parts(batches):
-            found, n = np.unique(np.concatenate([shingles(t) for t in texts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["sh", "n"])
+            total += np.bincount(bins(np.concatenate([shingles(t) for t in texts])), minlength=BINS).astype(np.uint32)
+        tables = total.reshape(-1, part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tables))), pa.array([t.tobytes() for t in tables], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        least = lambda x: np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([least(x) for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    kind = "part long, counts binary"
+    rows = docs.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toArrow()
+    out = np.zeros((BINS // part, part), dtype=np.uint32)
+    for k, counts in zip(rows["part"].to_pylist(), rows["counts"].to_pylist()):
+        out[k] = np.frombuffer(counts, np.uint32)
+    return out.reshape(-1)
+
 
-    rows = sample.select("text").mapInArrow(count, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n")).filter("n > 2")
-    rows = rows.orderBy(F.col("n").desc(), "sh").limit(COMMON).toArrow()
-    found, n = rows["sh"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(found)
-    return found[order], n[order]
+FOUND = "d long, th long, s long, n long, fp long, sk array<long>, prefix array<long>"
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(d, th, text) to (d, th, s, n, prefix): the set's hash, its size and its first shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    """(d, th, text) to (d, th, s, n, fp, sk, prefix): the set's hash, size, fingerprint, sketch and first shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))  # 8 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
+        counts = shared.value
         for batch, texts in text_parts(batches):
-            names, sizes, firsts = [], [], []
+            names, sizes, fps, sketches, firsts = [], [], [], [], []
             for text in texts:
                 found = shingles(text)
                 names.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
-                if len(found) and len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    found = found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")]
+                fps.append(fingerprint(found))
+                sketches.append(sketch(found))
+                found = found[np.argsort(counts[bins(found)], kind="stable")]
                 firsts.append(found[: len(found) + 4 * len(found) // -5 + 1 if len(found) else 0])
             bounds = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(firsts).view(np.int64)))
             s = pa.array(np.array(names, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("th"), s, pa.array(sizes, pa.int64()), lists], names=["d", "th", "s", "n", "prefix"])
+            columns = [batch.column("d"), batch.column("th"), s, pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "th", "s", "n", "fp", "sk", "prefix"])
 
-    return docs.select("d", "th", "text").mapInArrow(run, "d long, th long, s long, n long, prefix array<long>")
+    return docs.select("d", "th", "text").mapInArrow(run, FOUND)
+
+
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are within BUDGET, as far as they span what the trie join finds."""
+    each = sets.groupBy("fp").agg(F.min("s").alias("node"))
+    equal = sets.join(each.withColumnRenamed("fp", "e_fp"), F.col("fp") == F.col("e_fp")).filter("s <> node").select(F.col("s").alias("a"), F.col("node").alias("b"))
+    return simhash.links(each.select(F.lit(0).alias("tab"), "fp", "node"), BUDGET).union(equal)
 
 
 def dealt(found: DataFrame) -> DataFrame:
@@ -172,11 +218,12 @@ def first_pairs(shares: DataFrame) -> DataFrame:
 
 
 def other_pairs(members: DataFrame) -> DataFrame:
-    """(sh, s, n, p, root) to the pairs (a, b) of a group's members with different roots."""
+    """(sh, s, n, p, root, sk) to the pairs (a, b) of a group's members with different roots that sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, start in grouped(batches, ["sh", "s", "n", "p", "root"]):
+        for rows, start in grouped(batches, ["sh", "s", "n", "p", "root", *(f"k{k}" for k in range(SKETCH // 64))]):
             edges = np.concatenate([np.nonzero(start == np.arange(len(start)))[0], [len(start)]])
+            sk = np.ascontiguousarray(rows[5:].T).view(np.uint64)
             for lo, hi in zip(edges, edges[1:]):
                 roots, at, sizes = np.unique(rows[4, lo:hi], return_inverse=True, return_counts=True)
                 if len(roots) < 2:
@@ -184,6 +231,8 @@ def other_pairs(members: DataFrame) -> DataFrame:
                 every = np.arange(lo, hi)
                 for i in every[at != np.argmax(sizes)]:
                     j = every[rows[4, lo:hi] != rows[4, i]]
+                    j = j[hopeful(rows, np.full(len(j), i), j)]
+                    j = j[9 * np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64) <= rows[2][j] + rows[2][i]]
                     found = pairs_of(rows, np.full(len(j), i), j)
                     if found.shape[1]:
                         yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
@@ -191,8 +240,28 @@ def other_pairs(members: DataFrame) -> DataFrame:
     return members.repartition("sh").sortWithinPartitions("sh").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are linked, on the texts of the sets' first documents."""
+def possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that ``roots`` do not join and that sizes and sketches allow to be linked."""
+    facts = sets.select("s", "n", "sk", F.col("s").alias("root"))
+    if roots is not None:
+        facts = sets.join(roots, F.col("s") == F.col("node"), "left").select("s", "n", "sk", F.coalesce("root", "s").alias("root"))
+    side = lambda x: facts.select(*[F.col(c).alias(f"{c}_{x}") for c in ("s", "n", "sk", "root")])
+    both = pairs.join(side("a"), F.col("a") == F.col("s_a")).join(side("b"), F.col("b") == F.col("s_b"))
+    both = both.filter("root_a <> root_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).flatten().to_numpy().reshape(-1, SKETCH // 64).view(np.uint64) for c in ("sk_a", "sk_b"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            good = pa.array(9 * differ <= batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+    return both.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of sets that are linked and not joined by ``roots``, on the texts of the sets' first documents."""
+    pairs = cut(possible(pairs, sets, roots))
     met = cut(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct().join(sets, F.col("m") == F.col("s")).select("s", F.col("first.d").alias("f_d"), F.col("first.th").alias("f_th")))
     bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS))
     some = F.broadcast(met.select(bucket("f_th").alias("bucket")).distinct())  # at most BUCKETS rows: most texts need no shuffle where few are met
@@ -218,16 +287,20 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """(d, text), d not null, to (d, th, n): the least (d, hash of text) of each component, and how many rows are equal to it."""
-    docs = small_batches(docs).select(F.col("d").cast("long").alias("d"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("d").cast("long").alias("d"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     found = cut(prefixes(docs))
-    sets = cut(found.groupBy("s").agg(F.min(F.struct("d", "th")).alias("first")))
+    sets = cut(found.groupBy("s").agg(F.min(F.struct("d", "th")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sk").alias("sk")))
+    links = verified(fingerprint_pairs(sets), docs, sets)
+    roots = components(links)
     met = cut(first_pairs(dealt(found)))
-    links = verified(cut(met.filter("sh IS NULL").select("a", "b").distinct()), docs, sets)
+    links = links.union(verified(met.filter("sh IS NULL").select("a", "b").distinct(), docs, sets, roots))
     roots = components(links)
-    members = met.filter("sh IS NOT NULL").select("sh", F.col("a").alias("s"), "n", "p").join(roots, F.col("s") == F.col("node"), "left")
-    others = cut(other_pairs(members.select("sh", "s", "n", "p", F.coalesce("root", "s").alias("root"))))
+    words = [F.col("sk")[k].alias(f"k{k}") for k in range(SKETCH // 64)]
+    facts = sets.join(roots, F.col("s") == F.col("node"), "left").select(F.col("s").alias("f_s"), F.coalesce("root", "s").alias("root"), "sk")
+    members = met.filter("sh IS NOT NULL").select("sh", F.col("a").alias("s"), "n", "p").join(facts, F.col("s") == F.col("f_s"))
+    others = verified(other_pairs(members.select("sh", "s", "n", "p", "root", *words)), docs, sets, roots)
     if not others.isEmpty():
-        roots = components(links.union(verified(others, docs, sets)))
+        roots = components(links.union(others))
     named = sets.join(roots, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("root", "s").alias("r")).agg(F.min("first").alias("first"))
     kept = named.select(F.col("first.d").alias("k_d"), F.col("first.th").alias("k_th"))
     counts = found.groupBy("d", "th").agg(F.count("*").alias("n"))
