@@ -11,9 +11,10 @@ n - ceil(4n/5) + 1, and at the first one that they share at least 4/9 of both si
 Rare shingles come first: the order is that of counts over all documents, in ``BINS`` bins of hashes, then of
 hashes.  Any order gives the same links, so what falls into one bin only decides the work.
 
-Scale: equal sets are one node.  A task sees the members of shared prefix shingles.  In a group of more
-than ``NEAR`` members each first meets the group's first one and its nearest; only members that the
-links found so far do not join are then held against all others.  Texts of a pair meet only if the pair is not
+Scale: equal sets are one node.  The members of a shared prefix shingle are a group, which a task streams in the
+order of sizes.  In a group of more than ``NEAR`` members each first meets the group's first one and its nearest; only
+groups that the links found so far do not join as a whole are then searched in full, those of more than ``CELL`` members
+as pairs of parts, so no task holds more.  Texts of a pair meet only if the pair is not
 joined yet and its parity sketches allow a link: where two sets differ in d shingles, their sketches differ
 in at most d bits, so the sketches rule out no link.  Every other pair is verified on its texts.
 
@@ -37,7 +38,7 @@ from heddle.llm.graph import components
 from heddle.session import cut
 
 WIDTH, NEAR, BINS, BUCKETS, SEED = 5, 8, 1 << 21, 1 << 20, 42
-BUDGET, SKETCH = 3, 1024  # differing bits of fingerprints; bits of a parity sketch
+BUDGET, SKETCH, CELL = 3, 1024, 1024  # differing bits of fingerprints; bits of a parity sketch; members that a task holds at once
 TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -164,7 +165,7 @@ def dealt(found: DataFrame) -> DataFrame:
 
 
 def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole groups of rows in the order of ``names``, the first being the group: columns and each row's group start."""
+    """Whole groups of rows, which are bounded, the first of ``names`` being the group: columns and each row's group start."""
     held = np.zeros((len(names), 0), dtype=np.int64)
     for batch in chain(batches, [None]):
         if batch is None:
@@ -194,27 +195,72 @@ def pairs_of(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
 
 
+class GroupReader:
+    """Reads sorted rows (sh, s, n, p) and holds, of the group that is open, the first row and the last NEAR only."""
+
+    def __init__(self):
+        self.held = np.zeros((4, 0), dtype=np.int64)
+        self.first = np.zeros((4, 1), dtype=np.int64)
+        self.count = 0  # rows of the open group so far
+
+    def read(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows with one of the NEAR - 1 before or with the group's first, and members of groups of more than NEAR."""
+        old = self.held.shape[1]
+        rows = np.concatenate([self.held, rows], axis=1)
+        new = np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])  # an equal set that several tasks sent
+        new[:old] = True
+        rows = rows[:, new]
+        if rows.shape[1] == old:
+            return np.zeros((2, 0), dtype=np.int64), np.zeros((4, 0), dtype=np.int64)
+        here = np.arange(rows.shape[1])
+        begins = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
+        start = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        place = here - start
+        if old:
+            place[start == 0] += self.count - old
+            start[start == 0] = rows.shape[1]  # the open group's first row is put at the end
+        every = np.concatenate([rows, self.first], axis=1)
+        late = here[(place >= NEAR) & (here >= old)]
+        i, j = [start[late]], [late]
+        for k in range(1, NEAR):
+            at = here[:-k][rows[0, k:] == rows[0, :-k]]
+            at = at[at + k >= old]
+            i.append(at)
+            j.append(at + k)
+        found = pairs_of(every, np.concatenate(i), np.concatenate(j))
+        eighth = here[(place == NEAR) & (here >= old)]  # with it, all before it are members
+        members = np.concatenate([late, (eighth[:, None] - np.arange(1, NEAR + 1)).ravel()])
+        last = rows[0] == rows[0, -1]
+        self.first = every[:, [start[-1]]]
+        self.count = int(place[-1]) + 1
+        self.held = rows[:, last][:, -NEAR:]
+        return found, rows[:, members]
+
+
 def first_pairs(shares: DataFrame) -> DataFrame:
     """Pairs (a, b) of group members with sh null, and the members of groups of more than NEAR with sh: a set, n and p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, start in grouped(batches, ["sh", "s", "n", "p"]):
-            here = np.arange(len(start))
-            size = np.bincount(start, minlength=len(start))[start]
-            big = size > NEAR
-            i, j = [start[big & (here > start)]], [here[big & (here > start)]]
-            for k in range(1, NEAR):
-                at = here[:-k][start[k:] == start[:-k]]
-                i.append(at)
-                j.append(at + k)
-            found = pairs_of(rows, np.concatenate(i), np.concatenate(j))
+        groups, names = GroupReader(), ["sh", "a", "b", "n", "p"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, held = groups.read(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("sh", "s", "n", "p")]))
             none = pa.nulls(found.shape[1], pa.int64())
-            names = ["sh", "a", "b", "n", "p"]
             yield pa.RecordBatch.from_arrays([none, pa.array(found[0]), pa.array(found[1]), none, none], names=names)
-            held = rows[:, big]
             yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.nulls(held.shape[1], pa.int64()), pa.array(held[2]), pa.array(held[3])], names=names)
 
-    return shares.repartition("sh").sortWithinPartitions("sh").mapInArrow(run, "sh long, a long, b long, n long, p long")
+    return shares.repartition("sh").sortWithinPartitions("sh", "n", "p", "s").mapInArrow(run, "sh long, a long, b long, n long, p long")
+
+
+def parted(members: DataFrame) -> DataFrame:
+    """Members (sh, s, root, ..) of groups with several roots; a group of more than ``CELL`` as one group for every pair of its parts."""
+    sizes = members.groupBy("sh").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least <> most")
+    sizes = sizes.select(F.col("sh").alias("z_sh"), F.when(F.col("size") > CELL, F.ceil(F.col("size") / (CELL // 2))).otherwise(1).cast("int").alias("parts"))
+    split = members.join(sizes, F.col("sh") == F.col("z_sh")).withColumn("mine", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.xxhash64("sh", F.least("mine", "other"), F.greatest("mine", "other"))
+    return split.withColumn("sh", F.when(F.col("parts") > 1, own).otherwise(F.col("sh"))).select(*members.columns)
 
 
 def other_pairs(members: DataFrame) -> DataFrame:
@@ -298,7 +344,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     words = [F.col("sk")[k].alias(f"k{k}") for k in range(SKETCH // 64)]
     facts = sets.join(roots, F.col("s") == F.col("node"), "left").select(F.col("s").alias("f_s"), F.coalesce("root", "s").alias("root"), "sk")
     members = met.filter("sh IS NOT NULL").select("sh", F.col("a").alias("s"), "n", "p").join(facts, F.col("s") == F.col("f_s"))
-    others = verified(other_pairs(members.select("sh", "s", "n", "p", "root", *words)), docs, sets, roots)
+    others = verified(other_pairs(parted(members.select("sh", "s", "n", "p", "root", *words))), docs, sets, roots)
     if not others.isEmpty():
         roots = components(links.union(others))
     named = sets.join(roots, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("root", "s").alias("r")).agg(F.min("first").alias("first"))

@@ -52,15 +52,51 @@ def texts():
     return [(int(i), t) for i, t in zip(rng.permutation(len(out)), out)]
 
 
-@pytest.mark.parametrize("near", [2, 8])
-def test_stage_keeps_one_of_each_exact_component(spark, save, documents, monkeypatch, near):
+@pytest.mark.parametrize("near, cell", [(2, 6), (8, 1024)])
+def test_stage_keeps_one_of_each_exact_component(spark, save, documents, monkeypatch, near, cell):
     monkeypatch.setattr(neardup, "NEAR", near)
+    monkeypatch.setattr(neardup, "CELL", cell)
     rows = texts()
     docs = spark.read.parquet(save(documents=documents([(i, t, "s") for i, t in rows])) + "/documents.parquet")
     kept = [r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept) == sorted(brute(rows))
 
 
+def test_groups_are_read_alike_in_any_batches(monkeypatch):
+    monkeypatch.setattr(neardup, "NEAR", 3)
+    monkeypatch.setattr(neardup, "hopeful", lambda rows, i, j: np.ones(len(i), dtype=bool))
+    rng = np.random.default_rng(8)
+    rows = np.array(sorted((int(sh), int(n), 0, k) for k, (sh, n) in enumerate(zip(rng.zipf(1.6, 300) % 40, rng.integers(1, 5, 300)))))
+    rows = rows[:, [0, 3, 1, 2]].T.astype(np.int64)
+    rows = np.repeat(rows, rng.integers(1, 3, rows.shape[1]), axis=1)  # equal rows from several tasks
+    once = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]
+    pairs, members = set(), []
+    for sh in np.unique(once[0]):
+        group = once[1, once[0] == sh].tolist()
+        for j, b in enumerate(group):
+            pairs |= {(min(a, b), max(a, b)) for a in group[max(0, j - 2) : j]}
+            if j >= 3:
+                pairs.add((min(group[0], b), max(group[0], b)))
+        if len(group) > 3:
+            members += [(int(sh), m) for m in group]
+    for step in (1, 2, 7, 1000):
+        reader, got, held = neardup.GroupReader(), set(), []
+        for lo in range(0, rows.shape[1], step):
+            found, kept = reader.read(rows[:, lo : lo + step])
+            got |= set(zip(*found.tolist()))
+            held += list(zip(kept[0].tolist(), kept[1].tolist()))
+        assert got == pairs and sorted(held) == sorted(members)
+
+
+def test_sketches_and_sizes_rule_out_no_link():
+    sets = [neardup.shingles(t) for _, t in texts()]
+    for a in sets:
+        for b in sets:
+            if neardup.linked(a, b):
+                differ = int(np.bitwise_count((neardup.sketch(a) ^ neardup.sketch(b)).view(np.uint64)).sum())
+                assert 9 * differ <= len(a) + len(b)
+
+
 def test_hashed_sets_are_the_shingles():
     for _, t in texts():
         assert len(neardup.shingles(t)) == len(shingle_set(t))
