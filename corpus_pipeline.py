@@ -72,7 +72,7 @@ def mix_to_weights(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.struct(*[c.alias(n) for c, n in zip(identity(), "dst")]).alias("id"),
         F.col("source").alias("src"),
         mixing.words(F.col("text")).alias("size"),
-        mixing.order_key(MIX_SEED, F.col("doc_id")).alias("key"),
+        mixing.order_key(MIX_SEED, F.col("doc_id"), F.col("text")).alias("key"),
     )
     part = F.col("taken") - F.col("whole") * F.col("size")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0))
