@@ -49,6 +49,15 @@ def test_columns_and_odd_rows(spark, save, documents, labels, name):
     assert STAGES[name](spark, empty, folder).collect() == []
 
 
+def test_packing_takes_odd_rows(spark, save, documents):
+    folder = save(documents=documents(ODD))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = STAGES["packing"](spark, docs, folder).collect()
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(i for i, _, _ in ODD)
+    assert max(r["offset"] + r["length"] for r in rows) <= 1024
+    assert STAGES["packing"](spark, docs.limit(0), folder).collect() == []
+
+
 def test_toxic_documents_go_and_others_stay(spark, save, documents, labels):
     folder = save(documents=documents(corpus()), labels=labels)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
