@@ -46,3 +46,5 @@ def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Itera
         for lo, hi in parts(batch.column(column)):
             part = batch.slice(lo, hi - lo)
             yield part, part.column(column).to_pylist()
+        del batch
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
