@@ -1,5 +1,7 @@
 """Searches and page texts against brute force, and their odd cases."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -203,6 +205,42 @@ def test_the_array_decides_inside_articles():
     assert texts_of([made[0]] * 9) == [f"{own[0]}\n\n{promo}"] * 9  # nor do copies of one
 
 
+def test_shares_are_of_whole_hosts_however_they_are_cut(spark, monkeypatch):
+    """Lines on about a tenth, a half and all of a host's pages: with chunks of 8, of 16 and of all pages one result, that of the host in memory."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"line{k}w{j}" for j in range(9 + k % 4)) for k in range(24)]
+    rates = np.concatenate([np.linspace(0.04, 0.16, 12), np.linspace(0.4, 0.6, 10), [1.0, 0.02]])
+    rows = []
+    for i in range(160):
+        tag = "article" if i % 3 else "div"
+        said = [line if rng.random() < 0.5 else f"{line} and page {i} itself" for line, rate in zip(lines, rates) if rng.random() < rate]
+        html = f"<body><div>{lines[0]}</div><{tag}>" + "".join(f"<p>{t}</p>" for t in [f"own words of {i}, {i * 7} in all", *said]) + f"</{tag}></body>"
+        rows += [(i, f"http://{'big' if i < 140 else 'small'}.example/{i}", html)] * (5 if i % 20 == 0 else 1)
+    rows += [(900, None, None), (901, "http://big.example/x", ""), (902, None, "<p>text of no host at all</p>")]
+    hosts: dict = {}
+    for i, url, html in rows:
+        hosts.setdefault((url or "").partition("//")[2].partition("/")[0], []).append((i, html))
+    want = sorted((i, *found) for host in hosts.values() for (i, _), found in zip(host, pages.main_texts([pages.blocks(h or "") for _, h in host])))
+    assert sum(n > 0 for _, _, n in want) > 100
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (8, 16, 4096):
+        monkeypatch.setattr(pages, "CHUNK", chunk)
+        got = pages.extract(df).select("page_id", "text", "n_boilerplate").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_findings_are_the_runs_on_enough_streams():
+    rng = np.random.default_rng(3)
+    streams = [[[f"w{t}" for t in rng.integers(0, 2, rng.integers(0, 30))] for _ in range(3)] for _ in range(6)]
+    count = Counter(g for s in streams for g in {tuple(seg[i : i + pages.LONG]) for seg in s for i in range(len(seg) - pages.LONG + 1)})
+    for least in (1, 2, 3):
+        assert sorted(pages.repeats(streams, least).values()) == sorted(n for n in count.values() if n >= least)
+    grams = np.array(list(pages.repeats(streams, 2)), dtype=np.int64)
+    for s in streams:
+        flags = [[any(count[tuple(seg[i : i + pages.LONG])] >= 2 for i in range(max(0, j - pages.LONG + 1), j + 1) if i + pages.LONG <= len(seg)) for j in range(len(seg))] for seg in s]
+        assert pages.covered(s, grams).tolist() == [f for seg in flags for f in seg]
+
+
 def test_parsing_is_linear():
     assert pages.blocks("<![CDATA[a" * 30_000 + "<p>b") != [] and pages.blocks("<div>" * 20_000 + "</p>" * 20_000 + "x") == [(pages.OUTSIDE, "x")]
     assert pages.main_texts([pages.blocks("<p><![CDATA[a b]]> c</p>")])[0][0] == "a b c"
