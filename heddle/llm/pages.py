@@ -294,10 +294,12 @@ def stream_text(segments: list[list[str]]) -> str:
     return "\n".join(" ".join(s) for s in segments)
 
 
-def kept_text(page: list[tuple[int, str]], flags: list[np.ndarray]) -> tuple[str, int]:
-    """(main text, tokens outside of chrome that boilerplate covers); flags are of the stream inside and of that outside of articles."""
+def kept_text(page: list[tuple[int, str]], flags: list[np.ndarray] | None) -> tuple[str, int]:
+    """(main text, tokens outside of chrome that boilerplate covers); flags are of the stream inside and of that outside of articles, None if its host has no boilerplate."""
     places = {place for place, _ in page}
     wanted = ARTICLE if ARTICLE in places else MAIN if MAIN in places else OUTSIDE
+    if flags is None:
+        return "\n\n".join(text for place, text in page if place == wanted), 0
     kept, at = [], [0, 0]
     for place, text in page:
         if place == CHROME:
@@ -397,7 +399,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in parsed(batches):
             kept = [
-                kept_text(page, [covered(stream(page, inside), g) for (inside, _), g in zip(KINDS, grams)])
+                kept_text(page, [covered(stream(page, inside), g) for (inside, _), g in zip(KINDS, grams)] if any(map(len, grams)) else None)
                 for page, grams in zip(found, host_grams(part))
             ]
             texts = [t for t, _ in kept]
