@@ -9,45 +9,118 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.operators.names import fresh
+from heddle.session import cut
 
 # Fixed values of the format.
 ENTRY_BYTES, TARGET_BYTES, BITS_PER_KEY = 8, 4000, 10
 FNV_OFFSET_HIGH, FNV_OFFSET_LOW, FNV_PRIME_LOW = 0xCBF29CE4, 0x84222325, 435
 LOW32 = 0xFFFFFFFF
 
+MOST_STARTS = 100_000  # rows of 40 bytes and a table's name that are broadcast; more are joined by a shuffle
+
 
 def item_size(key: Column, value: Column) -> Column:
     return F.lit(ENTRY_BYTES) + F.octet_length(key) + F.octet_length(value)
 
 
+def entries(sizes: np.ndarray, target: int) -> tuple[list[int], list[int], list[int]]:
+    """What a range of a table does to the block that is open before it, whatever that block holds.
+
+    With ``held`` bytes before, the first entry whose limit ``held`` exceeds applies: so many blocks begin in the
+    range, and so many bytes are in the last.  Without such an entry none begins.
+    """
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    m = len(sizes)
+    after = np.searchsorted(before, before[:-1] + target, side="right")  # where the block that begins at an item ends
+    _, firsts = np.unique(before[: min(int(np.searchsorted(before, target, side="right")) + 1, m)], return_index=True)
+    known: dict[int, tuple[int, int]] = {}
+    for first in firsts.tolist():
+        path, at = [], first
+        while at < m and at not in known:
+            path.append(at)
+            at = int(after[at])
+        for i in reversed(path):
+            begun, last = known[at] if at < m else (0, int(before[m] - before[i]))
+            known[i], at = (begun + 1, last), i
+    return [int(target - before[j]) for j in firsts], [known[j][0] for j in firsts.tolist()], [known[j][1] for j in firsts.tolist()]
+
+
 def pack_blocks(items: DataFrame, table: str, key: str, size: str, target: int = TARGET_BYTES) -> DataFrame:
-    """(table, key, size) with the block of each item, from 0 in each table.
+    """(table, key, size) with the block of each item, from 0 in each table; a null size counts as 0.
 
-    A fold by nature (every block begins where the one before overflowed), streamed over each
-    table's sorted rows: tables are dealt out whole and sorted in the JVM, and only the running size is held.
+    A fold by nature, as every block begins where the one before overflowed; it is folded in key ranges, so a table is
+    many tasks.  Each range tells what it does to any block that comes into it (at most ``target`` + 1 cases), one
+    pass over these rows, one a range and table, finds what does come in, and the ranges are folded from there.
     """
+    part, held, block = fresh(["part_", "held_", "block_"], items)
+    rows = items.select(table, key, size).repartitionByRange(table, key).sortWithinPartitions(table, key)
+    rows = cut(rows.withColumn(part, F.spark_partition_id()))
+    kinds = dict(rows.dtypes)
+    own = f"`{part}` int, `{table}` {kinds[table]}"
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sizes = None, []
+
+        def row() -> pd.DataFrame:
+            whole = np.concatenate(sizes)
+            limits, begun, last = entries(whole, target)
+            name = None if pd.isna(current[1]) else current[1]
+            return pd.DataFrame({part: [current[0]], table: pd.Series([name], dtype=object), "total": [int(whole.sum())], "limits": [limits], "begun": [begun], "last": [last]})
+
+        for found in batches:
+            for at, group in found.groupby([part, table], sort=False, dropna=False):
+                if current is not None and not same(current, at):
+                    yield row()
+                    sizes = []
+                current = at
+                sizes.append(group[size].fillna(0).to_numpy(dtype=np.int64))
+        if sizes:
+            yield row()
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, filled, number = None, 0, 0
+        for found in batches:
+            out = []
+            for p, t, total, limits, begun, last in found.itertuples(index=False):
+                if current is None or not same(current, (t,)):
+                    current, filled, number = (t,), 0, 0
+                out.append((p, None if pd.isna(t) else t, filled, number))
+                j = next((j for j, limit in enumerate(limits) if filled > limit), None)
+                filled, number = (filled + total, number) if j is None else (int(last[j]), number + int(begun[j]))
+            yield pd.DataFrame(out, columns=[part, table, held, block]).astype({table: object})
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, block, filled = None, 0, 0
-        for rows in batches:
+        current, number, filled = None, 0, 0
+        for found in batches:
             blocks = []
-            for t, s in zip(rows[table], rows[size]):
-                if t != current:
-                    current, block, filled = t, 0, 0
-                elif filled > target:
-                    block, filled = block + 1, 0
+            for p, t, s, into, first in zip(found[part], found[table], found[size].fillna(0), found[held], found[block]):
+                if current is None or not same(current, (p, t)):
+                    current, number, filled = (p, t), first, into
+                if filled > target:
+                    number, filled = number + 1, 0
                 filled += s
-                blocks.append(block)
-            yield rows.assign(block=pd.Series(blocks, index=rows.index, dtype="int32"))
-
-    rows = items.select(table, key, size).repartition(table).sortWithinPartitions(table, key)
-    kinds = dict(rows.dtypes)
-    return rows.mapInPandas(fold, f"{table} {kinds[table]}, {key} {kinds[key]}, {size} {kinds[size]}, block int")
+                blocks.append(number)
+            yield found[[table, key, size]].assign(block=pd.Series(blocks, index=found.index, dtype="int32"))
+
+    ranges = rows.select(part, table, size).mapInPandas(summarise, f"{own}, total long, limits array<long>, begun array<long>, last array<long>")
+    starts = cut(ranges.repartition(table).sortWithinPartitions(table, part).mapInPandas(carry, f"{own}, `{held}` long, `{block}` long"))
+    small = starts.count() <= MOST_STARTS
+    s = (F.broadcast(starts) if small else starts).withColumnsRenamed({part: f"{part}s", table: f"{table}_s{part}"})
+    joined = rows.join(s, (rows[part] == s[f"{part}s"]) & rows[table].eqNullSafe(s[f"{table}_s{part}"]))
+    joined = joined if small else joined.repartition(part)
+    ordered = joined.select(part, table, key, size, held, block).sortWithinPartitions(part, table, key)
+    return ordered.mapInPandas(fold, f"`{table}` {kinds[table]}, `{key}` {kinds[key]}, `{size}` {kinds[size]}, block int")
+
+
+def same(a: tuple, b: tuple) -> bool:
+    """Whether two rows are equal, nulls being equal to each other."""
+    return all(x == y or pd.isna(x) and pd.isna(y) for x, y in zip(a, b))
 
 
 def block_index(packed: DataFrame, table: str, key: str, size: str) -> DataFrame:

@@ -108,6 +108,47 @@ def test_fnv1(spark):
     assert (halves["hi"] << 32 | halves["lo"]) == 0xCBF29CE484222325
 
 
+def folded(rows, target):
+    out, current = [], None
+    for t, k, s in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        if (t,) != current:
+            current, block, filled = (t,), 0, 0
+        elif filled > target:
+            block, filled = block + 1, 0
+        filled += s or 0
+        out.append((t or "", k, block))
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_block_packing_in_ranges(spark, monkeypatch, most):
+    """One large table over many ranges, small ones, items larger than a block, null sizes and a null table."""
+    monkeypatch.setattr(sortedtable, "MOST_STARTS", most)
+    rng = random.Random(4)
+    rows = [("big", f"k{i:05d}", rng.choice([8, 9, 40, 150, 900])) for i in range(3000)]
+    rows += [(f"t{i % 9}", f"k{i:05d}", rng.choice([0, 8, 20, None])) for i in range(100)] + [(None, f"k{i}", 30) for i in range(9)]
+    df = spark.createDataFrame(rows, "t string, k string, s long")
+    for target in (100, 400):
+        got = sortedtable.pack_blocks(df, "t", "k", "s", target)
+        assert sorted((r["t"] or "", r["k"], r["block"]) for r in got.collect()) == folded(rows, target)
+    assert sortedtable.pack_blocks(df.limit(0), "t", "k", "s").collect() == []
+
+
+def test_entries_of_a_range_fit_every_block_before_it():
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes, target = [rng.choice([0, 1, 3, 7, 30]) for _ in range(rng.randint(1, 30))], rng.randint(1, 25)
+        limits, begun, last = sortedtable.entries(np.array(sizes), target)
+        for held in range(2 * target + 5):
+            filled, number = held, 0
+            for s in sizes:
+                if filled > target:
+                    filled, number = 0, number + 1
+                filled += s
+            j = next((j for j, limit in enumerate(limits) if held > limit), None)
+            assert (number, filled) == ((0, held + sum(sizes)) if j is None else (begun[j], last[j]))
+
+
 def test_bloom_sizes(spark):
     assert [one(spark, sortedtable.bloom_bits(F.lit(n))) for n in (0, 1, 6, 7, 500)] == [64, 64, 64, 128, 5056]
     assert [sortedtable.bloom_hashes(b) for b in (1, 10, 100)] == [1, 6, 30]
