@@ -14,9 +14,14 @@ hashes.  Any order gives the same links, so what falls into one bin only decides
 Scale: equal sets are one node.  The members of a shared prefix shingle are a group, which a task streams in the
 order of sizes.  In a group of more than ``NEAR`` members each first meets the group's first one and its nearest; only
 groups that the links found so far do not join as a whole are then searched in full, those of more than ``CELL`` members
-as pairs of parts, so no task holds more.  Texts of a pair meet only if the pair is not
-joined yet and its parity sketches allow a link: where two sets differ in d shingles, their sketches differ
-in at most d bits, so the sketches rule out no link.  Every other pair is verified on its texts.
+as pairs of parts, so no task holds more.  Two sets are compared only if they are not
+joined yet and their parity sketches allow a link: where two sets differ in d shingles, their sketches differ
+in at most d bits, so the sketches rule out no link.
+
+The full search returns no pair for every two members: a group's answer is stars that span the pairs that sketches allow.
+What such stars join, over all groups, is a cluster; every pair that is left to verify lies in one.  A
+cluster's sets meet in one task (a large cluster's in parts) and are compared there, nearest first, until they are
+joined or all their pairs are ruled out; only the links that join them are returned.
 
 Cases: texts without words are one node; under five words are one shingle; a null text has no words.
 """
@@ -29,16 +34,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import simhash
 from heddle.llm.batches import text_parts
 from heddle.llm.graph import components
-from heddle.session import cut
+from heddle.session import cut, freed
 
 WIDTH, NEAR, BINS, BUCKETS, SEED = 5, 8, 1 << 21, 1 << 20, 42
-BUDGET, SKETCH, CELL = 3, 1024, 1024  # differing bits of fingerprints; bits of a parity sketch; members that a task holds at once
+BUDGET, SKETCH, CELL = 3, 1024, 4096  # differing bits of fingerprints; bits of a parity sketch; members that a task holds at once
+HEAVY = 128  # shingles that, where whole sets are held, count as a member more
 TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -253,9 +259,10 @@ def first_pairs(shares: DataFrame) -> DataFrame:
     return shares.repartition("sh").sortWithinPartitions("sh", "n", "p", "s").mapInArrow(run, "sh long, a long, b long, n long, p long")
 
 
-def parted(members: DataFrame) -> DataFrame:
-    """Members (sh, s, root, ..) of groups with several roots; a group of more than ``CELL`` as one group for every pair of its parts."""
-    sizes = members.groupBy("sh").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least <> most")
+def parted(members: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Members (sh, s, root, ..) of groups with several roots; a group of more than ``CELL`` (members, or their weights) as one group for every pair of its parts."""
+    size = F.count("*") if weight is None else F.sum(weight)
+    sizes = members.groupBy("sh").agg(F.min("root").alias("least"), F.max("root").alias("most"), size.alias("size")).filter("least <> most")
     sizes = sizes.select(F.col("sh").alias("z_sh"), F.when(F.col("size") > CELL, F.ceil(F.col("size") / (CELL // 2))).otherwise(1).cast("int").alias("parts"))
     split = members.join(sizes, F.col("sh") == F.col("z_sh")).withColumn("mine", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -264,7 +271,7 @@ def parted(members: DataFrame) -> DataFrame:
 
 
 def other_pairs(members: DataFrame) -> DataFrame:
-    """(sh, s, n, p, root, sk) to the pairs (a, b) of a group's members with different roots that sketches allow."""
+    """(sh, s, n, p, root, sk) to pairs (a, b) that span, in every group, the pairs of members with different roots that sketches allow: stars on the least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, start in grouped(batches, ["sh", "s", "n", "p", "root", *(f"k{k}" for k in range(SKETCH // 64))]):
@@ -274,14 +281,17 @@ def other_pairs(members: DataFrame) -> DataFrame:
                 roots, at, sizes = np.unique(rows[4, lo:hi], return_inverse=True, return_counts=True)
                 if len(roots) < 2:
                     continue
-                every = np.arange(lo, hi)
-                for i in every[at != np.argmax(sizes)]:
-                    j = every[rows[4, lo:hi] != rows[4, i]]
-                    j = j[hopeful(rows, np.full(len(j), i), j)]
-                    j = j[9 * np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64) <= rows[2][j] + rows[2][i]]
-                    found = pairs_of(rows, np.full(len(j), i), j)
-                    if found.shape[1]:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                tree = np.arange(hi - lo)
+                for i in np.flatnonzero(at != np.argmax(sizes)):
+                    j = lo + np.flatnonzero((at != at[i]) & (tree != tree[i]))
+                    j = j[hopeful(rows, np.full(len(j), lo + i), j)]
+                    j = j[9 * np.bitwise_count(sk[j] ^ sk[lo + i]).sum(axis=1, dtype=np.int64) <= rows[2][j] + rows[2][lo + i]]
+                    tree[np.isin(tree, tree[j - lo])] = tree[i]
+                s, (_, tree) = rows[1, lo:hi], np.unique(tree, return_inverse=True)
+                least = np.full(tree.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, tree, s)
+                tied = least[tree] < s
+                yield pa.RecordBatch.from_arrays([pa.array(s[tied]), pa.array(least[tree][tied])], names=["a", "b"])
 
     return members.repartition("sh").sortWithinPartitions("sh").mapInArrow(run, "a long, b long").distinct()
 
@@ -305,14 +315,19 @@ def possible(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None) -> Data
     return both.select("a", "b", "n_a", "n_b", "sk_a", "sk_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) of sets that are linked and not joined by ``roots``, on the texts of the sets' first documents."""
-    pairs = cut(possible(pairs, sets, roots))
-    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct().join(sets, F.col("m") == F.col("s")).select("s", F.col("first.d").alias("f_d"), F.col("first.th").alias("f_th")))
+def first_texts(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(m), sets without repeats, to (s, text): the text of each one's first document."""
+    met = cut(wanted.join(sets, F.col("m") == F.col("s")).select("s", F.col("first.d").alias("f_d"), F.col("first.th").alias("f_th")))
     bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS))
     some = F.broadcast(met.select(bucket("f_th").alias("bucket")).distinct())  # at most BUCKETS rows: most texts need no shuffle where few are met
     texts = docs.join(some, bucket("th") == F.col("bucket"), "left_semi").join(met, (F.col("d") == F.col("f_d")) & (F.col("th") == F.col("f_th")))
-    texts = cut(texts.groupBy("d", "th", "s").agg(F.first("text").alias("text")).select("s", "text"))  # dealt as the join is: no shuffle of its own
+    return cut(texts.groupBy("d", "th", "s").agg(F.first("text").alias("text")).select("s", "text"))  # dealt as the join is: no shuffle of its own
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of sets that are linked and not joined by ``roots``, on the texts of the sets' first documents."""
+    pairs = cut(possible(pairs, sets, roots))
+    texts = first_texts(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), docs, sets)
     both = pairs.join(texts.select(F.col("s").alias("s_a"), F.col("text").alias("text")), F.col("a") == F.col("s_a"))
     both = both.join(texts.select(F.col("s").alias("s_b"), F.col("text").alias("other")), F.col("b") == F.col("s_b"))
 
@@ -331,6 +346,45 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFram
     return cut(both.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"))
 
 
+def spanning(roots: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of linked sets, as many as it takes to join what links and equal roots join."""
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    sk = np.stack([sketch(x) for x in sets]).view(np.uint64)
+    _, root, sizes = np.unique(roots, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(root != np.argmax(sizes)).tolist():
+        others = np.flatnonzero(root != root[i])
+        differ = np.bitwise_count(sk[others] ^ sk[i]).sum(axis=1, dtype=np.int64)
+        near = np.argsort(differ, kind="stable")
+        near = near[9 * differ[near] <= n[others[near]] + n[i]]
+        for j in others[near].tolist():
+            if root[j] != root[i] and linked(sets[i], sets[j]):
+                root[root == root[j]] = root[i]
+                yield i, j
+
+
+def cluster_links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) of sets that ``roots`` do not join, as many as it takes to join all linked sets of each cluster of ``pairs``."""
+    moved = components(pairs)
+    freed(docs.sparkSession)
+    clusters = cut(moved.union(moved.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("m"), F.col("root").alias("sh")))
+    facts = sets.join(roots, F.col("s") == F.col("node"), "left").select("s", "n", F.coalesce("root", "s").alias("root"))
+    members = parted(clusters.join(facts, F.col("m") == F.col("s")).select("sh", "s", "root", "n"), 1 + F.floor(F.col("n") / HEAVY))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_parts(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["t_s", "found"])
+
+    def run(cell: pa.Table) -> pa.Table:
+        s = cell.column("s").to_numpy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in cell.column("found")]
+        found = np.array(list(spanning(cell.column("root").to_numpy(), sets)), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": s[found[:, 0]], "b": s[found[:, 1]]})
+
+    found = first_texts(clusters.select("m"), docs, sets).mapInArrow(hashed, "t_s long, found array<long>")
+    cells = members.join(found, F.col("s") == F.col("t_s")).select("sh", "s", "root", "found")
+    return cut(cells.groupBy("sh").applyInArrow(run, "a long, b long"))
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """(d, text), d not null, to (d, th, n): the least (d, hash of text) of each component, and how many rows are equal to it."""
     docs = docs.select(F.col("d").cast("long").alias("d"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
@@ -338,15 +392,17 @@ def representatives(docs: DataFrame) -> DataFrame:
     sets = cut(found.groupBy("s").agg(F.min(F.struct("d", "th")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sk").alias("sk")))
     links = verified(fingerprint_pairs(sets), docs, sets)
     roots = components(links)
+    freed(docs.sparkSession)
     met = cut(first_pairs(dealt(found)))
-    links = links.union(verified(met.filter("sh IS NULL").select("a", "b").distinct(), docs, sets, roots))
-    roots = components(links)
+    roots = components(verified(met.filter("sh IS NULL").select("a", "b").distinct(), docs, sets, roots).union(roots))
+    freed(docs.sparkSession)
     words = [F.col("sk")[k].alias(f"k{k}") for k in range(SKETCH // 64)]
     facts = sets.join(roots, F.col("s") == F.col("node"), "left").select(F.col("s").alias("f_s"), F.coalesce("root", "s").alias("root"), "sk")
     members = met.filter("sh IS NOT NULL").select("sh", F.col("a").alias("s"), "n", "p").join(facts, F.col("s") == F.col("f_s"))
-    others = verified(other_pairs(parted(members.select("sh", "s", "n", "p", "root", *words))), docs, sets, roots)
+    others = cut(other_pairs(parted(members.select("sh", "s", "n", "p", "root", *words))))
     if not others.isEmpty():
-        roots = components(links.union(others))
+        roots = components(cluster_links(others, docs, sets, roots).union(roots))
+    freed(docs.sparkSession)
     named = sets.join(roots, F.col("s") == F.col("node"), "left").groupBy(F.coalesce("root", "s").alias("r")).agg(F.min("first").alias("first"))
     kept = named.select(F.col("first.d").alias("k_d"), F.col("first.th").alias("k_th"))
     counts = found.groupBy("d", "th").agg(F.count("*").alias("n"))

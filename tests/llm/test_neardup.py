@@ -62,6 +62,49 @@ def test_stage_keeps_one_of_each_exact_component(spark, save, documents, monkeyp
     assert sorted(kept) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("cell", [40, 4096])
+def test_a_group_s_pairs_are_fewer_than_its_members(spark, monkeypatch, cell):
+    """Sketches allow every pair of these 300 sets, and 60 roots join none of the others' sets."""
+    monkeypatch.setattr(neardup, "CELL", cell)
+    words = {f"k{k}": 5 for k in range(neardup.SKETCH // 64)}
+    rows = [(9, s, 150, 0, s % 60, *words.values()) for s in range(300)]
+    members = spark.createDataFrame(rows, "sh long, s long, n long, p long, root long, " + ", ".join(f"{k} long" for k in words))
+    dealt = neardup.parted(members)
+    pairs = neardup.other_pairs(dealt).collect()
+    assert len(pairs) < dealt.count() and len(pairs) < (300 if cell == 4096 else 300 * 300 // 4)
+    reached = {0}
+    for _ in rows:
+        reached |= {x for p in pairs if p["a"] in reached or p["b"] in reached for x in p}
+    assert len(reached) == 300
+
+
+@pytest.mark.parametrize("cell", [30, 4096])
+def test_clusters_are_joined_as_by_all_pairs(spark, monkeypatch, cell):
+    """Pairs that span a cluster need not be linked themselves; links of its other pairs are found, one for every join."""
+    from heddle.llm.graph import components
+    from heddle.session import cut
+
+    monkeypatch.setattr(neardup, "CELL", cell)
+    rng = np.random.default_rng(3)
+    base = rng.choice([f"w{k}" for k in range(400)], 150).tolist()
+    rows = [(k, changed(rng, base, int(e))) for k, e in enumerate(rng.integers(2, 6, 100))]
+    docs = cut(spark.createDataFrame(rows, "d long, text string").selectExpr("d", "xxhash64(text) AS th", "text"))
+    found = neardup.prefixes(docs)
+    sets = cut(found.selectExpr("s", "struct(d, th) AS first", "n", "fp", "sk"))
+    place = {r["s"]: r["first"]["d"] for r in sets.collect()}
+    chain = sorted(place)
+    pairs = spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long")
+    none = spark.createDataFrame([], "node long, root long")
+    links = neardup.cluster_links(pairs, docs, sets, none)
+    texts = dict(rows)
+    for r in links.collect():
+        assert neardup.linked(neardup.shingles(texts[place[r["a"]]]), neardup.shingles(texts[place[r["b"]]]))
+    moved = {r["node"] for r in components(links).collect()}
+    assert len(rows) - len(moved) == len(brute(rows)) > 1
+    if cell == 4096:
+        assert links.count() == len(moved)
+
+
 def test_groups_are_read_alike_in_any_batches(monkeypatch):
     monkeypatch.setattr(neardup, "NEAR", 3)
     monkeypatch.setattr(neardup, "hopeful", lambda rows, i, j: np.ones(len(i), dtype=bool))
